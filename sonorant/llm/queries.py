@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, simhash
+from . import bpe, packing, quality, simhash, token_counts
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -31,6 +31,15 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(_read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken")).withColumnRenamed("id", "doc_id")
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return quality.judge(docs, quality.train(docs, _read(spark, sf_dir, "labels"))).withColumnRenamed("id", "doc_id")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.tokenised_pieces(_read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), pattern(), end_id=2))
 
@@ -46,6 +55,8 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op3_token_counts": op3_token_counts,
+    "op4_quality": op4_quality,
     "op9_packing": op9_packing,
     "op10_bpe": op10_bpe,
 }
