@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, quality, simhash, token_counts
+from . import bpe, fingerprints, langid, packing, quality, simhash, token_counts
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -40,6 +40,19 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.train(docs, _read(spark, sf_dir, "labels"))).withColumnRenamed("id", "doc_id")
 
 
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    model = langid.train(docs.where(~held_out))
+    return langid.predict(docs, model).select(F.col("id").alias("doc_id"), F.expr("coalesce(crc32(cast(cast(id AS string) AS binary)) % 3 = 1, false)").alias("held_out"), "lang_pred", "score")
+
+
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return fingerprints.edited_likeness(docs, fingerprints.rarity(docs), parts=parts).withColumnRenamed("id", "doc_id")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.tokenised_pieces(_read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), pattern(), end_id=2))
 
@@ -57,6 +70,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op3_token_counts": op3_token_counts,
     "op4_quality": op4_quality,
+    "op6_langid": op6_langid,
+    "op7_fingerprints": op7_fingerprints,
     "op9_packing": op9_packing,
     "op10_bpe": op10_bpe,
 }
