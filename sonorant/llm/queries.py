@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, langid, packing, quality, simhash, token_counts
+from . import bpe, fingerprints, langid, packing, quality, secret_scan, simhash, token_counts, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -31,6 +31,14 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+#: (host, path, verdict); the path starts with a slash.
+URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_read(spark, sf_dir, "pages"), URL_RULES, url_filter.default_labels(spark)).withColumnRenamed("id", "page_id")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken")).withColumnRenamed("id", "doc_id")
 
@@ -40,6 +48,13 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.train(docs, _read(spark, sf_dir, "labels"))).withColumnRenamed("id", "doc_id")
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = secret_scan.with_spans(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    strong = F.filter("spans", lambda s: s["rank"] <= len(secret_scan.STRONG))
+    counts = [F.size(F.array_remove(F.transform("spans", lambda s: s["kind"] == kind), False)).cast("long").alias(f"n_{kind}") for kind, *_ in secret_scan.STRONG]
+    return rows.select("doc_id", *counts, F.sha2(secret_scan.joined(strong), 256).alias("base_sha256"), secret_scan.joined(F.col("spans")).alias("spans"))
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
@@ -68,8 +83,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_url_filter": op2_url_filter,
     "op3_token_counts": op3_token_counts,
     "op4_quality": op4_quality,
+    "op5_secrets": op5_secrets,
     "op6_langid": op6_langid,
     "op7_fingerprints": op7_fingerprints,
     "op9_packing": op9_packing,
