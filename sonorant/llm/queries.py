@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, langid, packing, quality, secret_scan, simhash, token_counts, url_filter
+from . import bpe, fingerprints, langid, line_dedup, packing, quality, secret_scan, simhash, token_counts, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -68,6 +68,12 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_likeness(docs, fingerprints.rarity(docs), parts=parts).withColumnRenamed("id", "doc_id")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document, how many go and which (numbers from 0)."""
+    done = line_dedup.deduplicated(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", F.col("_lines").alias("n_lines"), F.size("_removed").alias("n_removed"), F.array_join("_removed", ",").alias("removed"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.tokenised_pieces(_read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), pattern(), end_id=2))
 
@@ -89,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_secrets": op5_secrets,
     "op6_langid": op6_langid,
     "op7_fingerprints": op7_fingerprints,
+    "op8_line_dedup": op8_line_dedup,
     "op9_packing": op9_packing,
     "op10_bpe": op10_bpe,
 }

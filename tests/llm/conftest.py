@@ -1,0 +1,21 @@
+import pytest
+from pyspark.sql import SparkSession
+
+
+@pytest.fixture(scope="session")
+def spark():
+    s = (
+        SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
+        .config("spark.sql.session.timeZone", "UTC").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "6g").getOrCreate()
+    )
+    s.sparkContext.setLogLevel("ERROR")
+    return s
+
+
+@pytest.fixture(scope="session")
+def docs_of(spark):
+    """A documents table of texts, doc_id counted from 0, with a clashing extra column."""
+    def make(texts, ids=None):
+        rows = [(i if ids is None else ids[i], t, "x") for i, t in enumerate(texts)]
+        return spark.createDataFrame(rows, "doc_id bigint, text string, key string")
+    return make
