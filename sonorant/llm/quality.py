@@ -208,3 +208,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def judge(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, base counts, base_failed, kept, score)`` of every row."""
     return _measured(docs, id_col, text_col, trees)
+
+
+def kept(docs: DataFrame, trees: Trees, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that the base rules and the trees keep."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [statistics(t) for t in texts(batch.column(batch.schema.names.index(text_col)))]
+            base = np.array([b for b, _ in got], np.int64).reshape(-1, 5)
+            good = ~base_failed(base) & (trees.score(np.array([f for _, f in got]).reshape(-1, len(FEATURES))) >= 0.5)
+            yield batch.filter(pa.array(good))
+
+    return docs.mapInArrow(run, docs.schema)

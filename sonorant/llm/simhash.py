@@ -16,14 +16,14 @@ columns of the input are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 from math import comb
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import connected_components, stage, texts
@@ -163,11 +163,15 @@ def sliced_links(queries: np.ndarray, targets: np.ndarray, valid: np.ndarray, ra
     return hits
 
 
-def _compare(fps: np.ndarray, side: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def _compare(
+    fps: np.ndarray, side: np.ndarray, group: np.ndarray, radius: int,
+    fits: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, forest: bool = True,
+) -> tuple[np.ndarray, np.ndarray]:
     """Links within each group of sorted ``group`` ids, between the sides of a two-sided group.
 
     ``side`` 0: a group compared with itself; 1 and 2: the halves of a split key.
-    Returns a spanning forest of the links as index pairs.
+    ``fits`` may reject links (index arrays in, booleans out). Returns a spanning
+    forest of the links as index pairs, or every link.
     """
     new = np.r_[True, (group[1:] != group[:-1]) | (side[1:] != side[:-1])]
     first = np.flatnonzero(new)
@@ -203,11 +207,16 @@ def _compare(fps: np.ndarray, side: np.ndarray, group: np.ndarray, radius: int)
         u, l = np.nonzero(lanes)
         a, b = q[some[u]], start[blk[some[u]]] + l
         keep = a != b
-        a, b = _forest(a[keep], b[keep], len(fps))
+        if fits is not None:
+            keep &= fits(a, b)
+        a, b = a[keep], b[keep]
+        if forest:
+            a, b = _forest(a, b, len(fps))
         left.append(a)
         right.append(b)
         at = upto
-    return _forest(np.concatenate(left), np.concatenate(right), len(fps))
+    a, b = np.concatenate(left), np.concatenate(right)
+    return _forest(a, b, len(fps)) if forest else (a, b)
 
 
 def _forest(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -228,8 +237,8 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarra
     return touched, root[touched]
 
 
-def links(fps: DataFrame, radius: int, chunk: int = CHUNK) -> DataFrame:
-    """Spanning links ``(a, b)`` between distinct fingerprints ``fps(fp)`` at ``radius`` or fewer bits.
+def _units(fps: DataFrame, radius: int, chunk: int, *carried: str) -> DataFrame:
+    """``fps(fp, ...)`` dealt into units of comparison ``(fp, unit, side, carried columns)``, sorted within partitions.
 
     A key met by more than ``chunk`` fingerprints is dealt into chunks, each pair
     of chunks a unit of its own, so no task holds a whole hot key.
@@ -238,7 +247,7 @@ def links(fps: DataFrame, radius: int, chunk: int = CHUNK) -> DataFrame:
         raise ValueError("radius must be from 0 to 16")
     blocks, match = block_plan(max(fps.count(), 1), radius)
     keys = F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(m)).alias("v")) for k, m in _keys(blocks, match)])
-    made = fps.select("fp", F.inline(keys))
+    made = fps.select("fp", *carried, F.inline(keys))
     sizes = made.groupBy("k", "v").count()
     hot = sizes.where(F.col("count") > chunk).select("k", "v", F.ceil(F.col("count") / chunk).cast("int").alias("parts"))
     shared = made.join(hot, ["k", "v"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
@@ -248,35 +257,43 @@ def links(fps: DataFrame, radius: int, chunk: int = CHUNK) -> DataFrame:
         .withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .select(
             "fp", F.xxhash64("k", "v", F.least("own", "mate"), F.greatest("own", "mate")).alias("unit"),
-            F.when(F.col("own") == F.col("mate"), 0).when(F.col("own") < F.col("mate"), 1).otherwise(2).alias("side"),
+            F.when(F.col("own") == F.col("mate"), 0).when(F.col("own") < F.col("mate"), 1).otherwise(2).alias("side"), *carried,
         )
     )
+    return units.repartition("unit").sortWithinPartitions("unit", "side", "fp").select("fp", "unit", "side", *carried)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-        def flush(upto_last: bool) -> Iterator[pa.RecordBatch]:
-            fp, unit, side = (np.concatenate(x) for x in zip(*held, strict=True))
-            cut = len(unit) if upto_last else int(np.flatnonzero(unit != unit[-1])[-1]) + 1 if (unit != unit[-1]).any() else 0
-            held[:] = [(fp[cut:], unit[cut:], side[cut:])] if cut < len(unit) else []
-            fp, unit, side = fp[:cut], unit[:cut], side[:cut]
-            if cut:
-                a, b = _compare(fp.view(np.uint64), side, unit, radius)
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(fp[a]), pa.array(fp[b])], ["a", "b"])
 
-        for batch in batches:
-            if batch.num_rows:
-                held.append(tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)))
-                if sum(len(x[0]) for x in held) > 50_000:
-                    yield from flush(False)
-        if held:
-            yield from flush(True)
-
-    return (
-        units.repartition("unit").sortWithinPartitions("unit", "side", "fp")
-        .select("fp", "unit", "side").mapInArrow(run, "a bigint, b bigint")
-    )
+def _over_units(batches: Iterator[pa.RecordBatch], work: Callable[..., list[np.ndarray]], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """``work(*columns)`` over whole units, some ten thousand rows at a time."""
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def flush(last: bool) -> Iterator[pa.RecordBatch]:
+        columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+        unit = columns[1]
+        cut = len(unit) if last else int(np.flatnonzero(unit != unit[-1])[-1]) + 1 if (unit != unit[-1]).any() else 0
+        held[:] = [tuple(c[cut:] for c in columns)] if cut < len(unit) else []
+        if cut:
+            out = work(*[c[:cut] for c in columns])
+            if len(out[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names)
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns))
+            if sum(len(x[0]) for x in held) > 50_000:
+                yield from flush(False)
+    if held:
+        yield from flush(True)
+
+
+def links(fps: DataFrame, radius: int, chunk: int = CHUNK) -> DataFrame:
+    """Spanning links ``(a, b)`` between distinct fingerprints ``fps(fp)`` at ``radius`` or fewer bits."""
+
+    def work(fp: np.ndarray, unit: np.ndarray, side: np.ndarray) -> list[np.ndarray]:
+        a, b = _compare(fp.view(np.uint64), side, unit, radius)
+        return [fp[a], fp[b]]
+
+    return _units(fps, radius, chunk).mapInArrow(lambda batches: _over_units(batches, work, ["a", "b"]), "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
@@ -293,3 +310,102 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     members = named.join(least, "root").select("fp", "component_id")
     return fps.join(members, "fp", "left").select("id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Fingerprints of distinct words link at this many bits, those of shingles at that many; texts at Jaccard 0.8
+#: or more were within 8 and 17.
+WORD_RADIUS, SHINGLE_RADIUS = 8, 20
+
+
+def text_fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """``(id, node, fp, wide)``: a hash of the words in order, the fingerprint of the distinct words and that of the shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text in texts(batch.column(1)):
+                words = text.lower().split()
+                one = np.fromiter({xxhash.xxh64_intdigest(w, SEED) for w in set(words)}, np.uint64)
+                wide = np.array(shingle_hashes(text, width), np.uint64)
+                pair = majority(np.concatenate([one, wide]), np.array([len(one), len(wide)]))
+                rows.append((np.uint64(xxhash.xxh64_intdigest(b" ".join(words), SEED)), *pair))
+            found = np.array(rows, np.uint64).reshape(-1, 3).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(found[:, i])) for i in range(3))], ["id", "node", "fp", "wide"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, node bigint, fp bigint, wide bigint")
+
+
+def _similar(pairs: DataFrame, docs: DataFrame, prints: DataFrame, text_col: str, id_col: str, width: int, similarity: float) -> DataFrame:
+    """Of ``pairs(a, b)`` of nodes those whose shingle sets have a Jaccard similarity of ``similarity`` or more."""
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    owners = prints.join(nodes, "node").groupBy("node").agg(F.min("id").alias("id"))  # one document for each
+    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(owners, "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, sets = [], []
+            for node, text in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
+                if node == int(np.uint64(xxhash.xxh64_intdigest(b" ".join(text.lower().split()), SEED)).view(np.int64)):  # ids may repeat
+                    nodes.append(node)
+                    sets.append(np.unique(np.array(shingle_hashes(text, width), np.uint64)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "s"])
+
+    sets, _ = stage(chosen.select("node", "text").mapInArrow(run, "node bigint, s array<bigint>").dropDuplicates(["node"]), "shingles")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    return both.where(shared >= F.lit(similarity) * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+
+
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``(id, node, component)`` of every row: texts whose shingle sets are ``similarity`` alike, linked.
+
+    Candidates come from SimHash: fingerprints of the distinct words within
+    ``WORD_RADIUS`` bits and of the shingles within ``SHINGLE_RADIUS``; each is
+    verified. First a spanning forest of each comparison is verified; then links
+    between the components so found, so that a large group of near copies never
+    becomes all its pairs. Texts of equal words are one node; ids should be unique.
+    """
+    prints, _ = stage(text_fingerprints(docs, id_col, text_col, width), "prints")
+    nodes, _ = stage(prints.groupBy("node").agg(F.min("fp").alias("fp"), F.min("wide").alias("wide")), "nodes")
+
+    def near(wide: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+        return lambda a, b: np.bitwise_count((wide[a] ^ wide[b]).view(np.uint64)) <= SHINGLE_RADIUS
+
+    def spanning(fp: np.ndarray, unit: np.ndarray, side: np.ndarray, node: np.ndarray, wide: np.ndarray) -> list[np.ndarray]:
+        a, b = _compare(fp.view(np.uint64), side, unit, WORD_RADIUS, near(wide))
+        return [node[a], node[b]]
+
+    def between(fp: np.ndarray, unit: np.ndarray, side: np.ndarray, node: np.ndarray, wide: np.ndarray, comp: np.ndarray) -> list[np.ndarray]:
+        alike = near(wide)
+        a, b = _compare(fp.view(np.uint64), side, unit, WORD_RADIUS, lambda a, b: (comp[a] != comp[b]) & alike(a, b), forest=False)
+        return [np.minimum(node[a], node[b]), np.maximum(node[a], node[b])]
+
+    pair = "a bigint, b bigint"
+    first = _units(nodes, WORD_RADIUS, CHUNK, "node", "wide").mapInArrow(lambda x: _over_units(x, spanning, ["a", "b"]), pair).distinct()
+    first, _ = stage(first, "candidates")
+    comps = connected_components(_similar(first, docs, prints, text_col, id_col, width, similarity))
+    heads = comps.select(F.col("component").alias("node"), "component").distinct()
+    named = nodes.join(comps.unionByName(heads), "node", "left").select("node", "fp", "wide", F.coalesce("component", "node").alias("comp"))
+    named, _ = stage(named, "named")
+    more = _units(named, WORD_RADIUS, CHUNK, "node", "wide", "comp").mapInArrow(lambda x: _over_units(x, between, ["a", "b"]), pair).distinct()
+    more, _ = stage(more.join(first, ["a", "b"], "left_anti"), "candidates")
+    links2 = _similar(more, docs, prints, text_col, id_col, width, similarity)
+    final = connected_components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links2)).withColumnRenamed("node", "n")
+    return prints.join(final, F.col("node") == F.col("n"), "left").select("id", "node", F.coalesce("component", "node").alias("component"))
+
+
+def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` without near copies: of each group the row of the least id stays, rows alike in id and words once."""
+    found, _ = stage(groups(docs, id_col, text_col, width, similarity), "groups")
+    place = F.struct(F.col("id").isNull().alias("no_id"), "id", "node")
+    kept = found.groupBy("component").agg(F.min(place).alias("w")).select(F.col("w.id").alias("_id"), F.col("w.node").alias("_node"))
+    keyed = docs.select("*", _node_of(F.col(text_col)).alias("_own"))
+    both = keyed.join(kept, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_node")))
+    return both.dropDuplicates([id_col, "_own"]).select(*docs.columns)
+
+
+def _node_of(text: Column) -> Column:
+    """The hash of the words in order, as ``text_fingerprints`` makes it."""
+    flat = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\x0b\x0c\r", "abcdefghijklmnopqrstuvwxyz     ")
+    return F.xxhash64(F.array_join(F.array_remove(F.split(flat, " "), ""), " "))
