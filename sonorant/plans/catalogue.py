@@ -4,7 +4,414 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from ..functions import text
+from ..operators import clustering, intervals, relational, runs, sequences, smoothing, vectors
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a plan under its function's name, with its SQL if it has one."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def _epoch(ts: str = "ts") -> Column:
+    """Seconds since 1970 of a zone-less timestamp, whatever the session's zone."""
+    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', {ts})") / F.lit(1e6)
+
+
+def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.frames(_read(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type", "value"), "user_id", "ts", "event_id")
+
+
+F_SQL = "f AS (SELECT user_id, event_id, ts, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events)"
+
+
+@query(f"""WITH {F_SQL}, a AS (SELECT user_id, i, i - row_number() OVER (PARTITION BY user_id ORDER BY i) AS g FROM f WHERE value > 34),
+r AS (SELECT user_id, min(i) AS start_f, max(i) AS end_f FROM a GROUP BY user_id, g HAVING max(i) - min(i) + 1 >= 3)
+SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY start_f) AS seg, start_f, end_f FROM r""")
+def call_runs_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.runs(_frames(spark, sf_dir), "user_id", F.col("value") > 34, 3)
+
+
+_HYSTERESIS = """, l AS (SELECT user_id, max(i) AS last_i FROM f GROUP BY user_id),
+a AS (SELECT user_id, i, lag(i) OVER (PARTITION BY user_id ORDER BY i) AS p FROM f WHERE value > {t}),
+n AS (SELECT user_id, i, sum(CASE WHEN p IS NULL OR i - p - 1 > {gap} THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY i) AS g FROM a),
+r AS (SELECT n.user_id, min(i) AS start_f, CASE WHEN last_i - max(i) <= {gap} THEN last_i ELSE max(i) END AS end_f FROM n JOIN l USING (user_id) GROUP BY n.user_id, g, last_i),
+k AS (SELECT * FROM r WHERE end_f - start_f + 1 >= 2)
+SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY start_f) AS seg, start_f, end_f,
+  round(greatest(start_f - 3, 0) * 320 / 32000.0::DOUBLE, 2) AS onset, round((end_f + 3) * 320 / 32000.0::DOUBLE, 2) AS "offset" FROM k"""
+
+
+@query(f"WITH {F_SQL}" + _HYSTERESIS.format(t=34, gap=2))
+def call_runs_hysteresis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.with_times(runs.runs(_frames(spark, sf_dir), "user_id", F.col("value") > 34, 2, max_gap=2, hold_open=True), pad=3)
+
+
+@query(f"WITH {F_SQL}" + _HYSTERESIS.format(t=80, gap=1))
+def call_runs_high_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.with_times(runs.runs(_frames(spark, sf_dir), "user_id", F.col("value") > 80, 2, max_gap=1, hold_open=True), pad=3)
+
+
+def _intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _read(spark, sf_dir, "events").select("user_id", _epoch().alias("onset"), "value")
+    return e.select("user_id", "onset", (F.col("onset") + 600 * F.col("value")).alias("offset"))
+
+
+_COALESCE = """WITH e AS (SELECT user_id, epoch_us(ts) / 1e6 AS onset, epoch_us(ts) / 1e6 + 600 * value AS "offset" FROM events),
+m AS (SELECT *, max("offset") OVER (PARTITION BY user_id ORDER BY onset, "offset" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM e),
+g AS (SELECT *, sum(CASE WHEN reach IS NULL OR onset - reach > {gap} THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY onset, "offset" ROWS UNBOUNDED PRECEDING) AS g FROM m),
+c AS (SELECT user_id, min(onset) AS onset, max("offset") AS "offset" FROM g GROUP BY user_id, g) """
+
+
+@query(_COALESCE.format(gap=3600) + "SELECT user_id, round(onset, 2) AS onset, round(\"offset\", 2) AS \"offset\" FROM c")
+def interval_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.coalesce(_intervals(spark, sf_dir), ["user_id"], 3600).select("user_id", F.round("onset", 2).alias("onset"), F.round("offset", 2).alias("offset"))
+
+
+@query(_COALESCE.format(gap=600) + "SELECT user_id, round(onset, 2) AS onset, round(\"offset\", 2) AS \"offset\" FROM c")
+def interval_coalesce_small_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.coalesce(_intervals(spark, sf_dir), ["user_id"], 600).select("user_id", F.round("onset", 2).alias("onset"), F.round("offset", 2).alias("offset"))
+
+
+@query(_COALESCE.format(gap=3600) + """, x AS (SELECT unnest(generate_series(CAST(floor(onset / 3600) AS BIGINT), CAST(floor("offset" / 3600) AS BIGINT))) AS frame, user_id % 5 AS label FROM c)
+SELECT frame, label, count(*) AS n FROM x GROUP BY frame, label""")
+def interval_frame_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = intervals.coalesce(_intervals(spark, sf_dir), ["user_id"], 3600).withColumn("label", F.col("user_id") % 5)
+    return intervals.frame_overlap(c, 3600, "label").groupBy("frame", "label").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT a.user_id, a.event_id AS ref_id, b.event_id AS sys_id FROM events a JOIN events b ON a.user_id = b.user_id
+WHERE a.event_type = 'click' AND b.event_type = 'view' AND abs(epoch_us(a.ts) - epoch_us(b.ts)) / 1e6 <= 21600""")
+def event_match_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _read(spark, sf_dir, "events").select("user_id", "event_id", "event_type", _epoch().alias("t"))
+    ref = e.where("event_type = 'click'").select("user_id", F.col("event_id").alias("ref_id"), F.col("t").alias("t_ref"))
+    sys = e.where("event_type = 'view'").select("user_id", F.col("event_id").alias("sys_id"), F.col("t").alias("t_sys"))
+    return intervals.band_join(ref, sys, "user_id", "t_ref", "t_sys", 21600.0).select("user_id", "ref_id", "sys_id")
+
+
+@query()
+def event_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _read(spark, sf_dir, "events").select(F.col("user_id").alias("filename"), "event_type", _epoch().alias("onset"), "value")
+    e = e.withColumn("offset", F.col("onset") + 600 * F.col("value"))
+    return intervals.event_metrics(e.where("event_type = 'click'"), e.where("event_type = 'view'"), collar=21600.0)
+
+
+def _hard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = runs.frames(_read(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type"), "user_id", "ts", "event_id")
+    return e.select("user_id", (F.col("user_id") % 5).alias("species"), F.col("i").alias("t"), F.col("event_type").alias("state"), F.lit(1.0).alias("p"))
+
+
+_STEPS = f"""WITH {F_SQL}, s AS (SELECT user_id, user_id % 5 AS species, i + 1 AS t, event_type AS state FROM f
+UNION ALL SELECT DISTINCT user_id, user_id % 5, 0, 'START' FROM events UNION ALL SELECT user_id, user_id % 5, count(*) + 1, 'END' FROM events GROUP BY user_id),
+c AS (SELECT a.species, a.state AS src, b.state AS dst, count(*) AS w FROM s a JOIN s b ON a.user_id = b.user_id AND b.t = a.t + 1 GROUP BY 1, 2, 3) """
+
+
+@query(_STEPS + "SELECT src, dst, round(sum(w) / sum(sum(w)) OVER (PARTITION BY src), 9) AS prob FROM c GROUP BY src, dst")
+def markov1_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequences.markov1(_hard(spark, sf_dir), "user_id").select("src", "dst", F.round("prob", 9).alias("prob"))
+
+
+@query(_STEPS + """SELECT species, src, dst, round(w / sum(w) OVER (PARTITION BY species, src), 9) AS prob FROM c
+UNION ALL SELECT CAST(NULL AS BIGINT), src, dst, round(sum(w) / sum(sum(w)) OVER (PARTITION BY src), 9) FROM c GROUP BY src, dst""")
+def markov1_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequences.markov1_rollup(_hard(spark, sf_dir), "user_id", "species").select("species", "src", "dst", F.round("prob", 9).alias("prob"))
+
+
+@query("""WITH d AS (SELECT user_id, CAST(ts AS DATE) AS d, event_type, sum(value) AS v FROM events GROUP BY 1, 2, 3),
+q AS (SELECT user_id, dense_rank() OVER (PARTITION BY user_id ORDER BY d) AS t, event_type AS state, v / sum(v) OVER (PARTITION BY user_id, d) AS p FROM d WHERE v > 0),
+s AS (SELECT * FROM q UNION ALL SELECT DISTINCT user_id, 0, 'START', 1.0 FROM q UNION ALL SELECT user_id, max(t) + 1, 'END', 1.0 FROM q GROUP BY user_id),
+c AS (SELECT a.state AS src, b.state AS dst, sum(a.p * b.p) AS w FROM s a JOIN s b ON a.user_id = b.user_id AND b.t = a.t + 1 GROUP BY 1, 2)
+SELECT src, dst, round(w / sum(w) OVER (PARTITION BY src), 9) AS prob FROM c""")
+def markov1_soft(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _read(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("t"), F.col("event_type").alias("state")).agg(F.sum("value").alias("v")).where("v > 0")
+    soft = d.withColumn("p", F.col("v") / F.sum("v").over(Window.partitionBy("user_id", "t")))
+    return sequences.markov1(soft, "user_id").select("src", "dst", F.round("prob", 9).alias("prob"))
+
+
+@query(_STEPS + """, x AS (SELECT a.state AS s0, b.state AS s1, d.state AS s2, count(*) AS w FROM s a JOIN s b ON a.user_id = b.user_id AND b.t = a.t + 1 JOIN s d ON a.user_id = d.user_id AND d.t = a.t + 2 GROUP BY 1, 2, 3)
+SELECT s0, s1, s2, round(w / sum(w) OVER (PARTITION BY s0, s1), 9) AS prob FROM x""")
+def markov2_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequences.markov2(_hard(spark, sf_dir), "user_id").withColumn("prob", F.round("prob", 9))
+
+
+@query("""WITH n AS (SELECT log2(count(*)) AS x FROM conversations GROUP BY conv_id),
+q AS (SELECT quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.5) AS median, quantile_cont(x, 0.75) AS q3 FROM n)
+SELECT round(q1, 9) AS q1, round(median, 9) AS median, round(q3, 9) AS q3, round(min(x), 9) AS low, round(max(x), 9) AS high FROM n, q
+WHERE x BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) GROUP BY q1, median, q3""")
+def sequence_length_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = sequences.length_quantiles(_read(spark, sf_dir, "conversations"), "conv_id")
+    return q.select(*[F.round(c, 9).alias(c) for c in q.columns])
+
+
+@query("SELECT role, turn, round(count(*) / sum(count(*)) OVER (PARTITION BY role), 9) AS prob FROM conversations GROUP BY role, turn")
+def call_index_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequences.position_histogram(_read(spark, sf_dir, "conversations"), "role", "turn").withColumn("prob", F.round("prob", 9))
+
+
+@query("""WITH n AS (SELECT source || '_' || lpad(CAST(doc_id AS VARCHAR), 5, '0') || '_' || CAST(n_chars % 20 AS VARCHAR) || '.wav' AS f FROM documents)
+SELECT f AS filename, split_part(f, '_', 1) AS species, split_part(f, '_', 1) || '_' || split_part(f, '_', 2) AS seq,
+CAST(replace(split_part(f, '_', 3), '.wav', '') AS INT) AS idx, regexp_replace(f, '_[0-9]+\\.wav$', '.wav') AS base, regexp_extract(f, '_([0-9]{5})_', 1) AS gid FROM n""")
+def filename_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _read(spark, sf_dir, "documents").select(F.concat_ws("", F.col("source"), F.lit("_"), F.lpad(F.col("doc_id").cast("string"), 5, "0"), F.lit("_"), (F.col("n_chars") % 20).cast("string"), F.lit(".wav")).alias("filename"))
+    f = F.col("filename")
+    return d.select("filename", text.species(f).alias("species"), text.group_id(f).alias("seq"), text.call_index(f).alias("idx"), text.base_name(f).alias("base"), text.five_digits(f).alias("gid"))
+
+
+@query("SELECT d.doc_id, coalesce(CAST(l.quality AS BIGINT), d.n_chars % 2) AS label FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) l USING (doc_id)")
+def label_override(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = _read(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") % 2).alias("label"))
+    return relational.override(base, _read(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("bigint").alias("label")), "doc_id", ["label"])
+
+
+@query("SELECT doc_id, quality, toxic, source FROM labels JOIN documents USING (doc_id) WHERE quality = 1 OR toxic = 1")
+def label_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "labels").where("quality = 1 OR toxic = 1").join(_read(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+
+
+@query("""WITH x AS (SELECT vec_id, embedding[1:10] AS e FROM embeddings) SELECT vec_id, CAST(list_position(e, list_max(e)) - 1 AS INT) AS argmax, list_position(e, list_max(e)) - 1 = 6 AS flag FROM x""")
+def pseudo_label_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = vectors.argmax(F.slice("embedding", 1, 10))
+    return _read(spark, sf_dir, "embeddings").select("vec_id", a.alias("argmax"), (a == 6).alias("flag"))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
+def anti_skip_existing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.not_in(_read(spark, sf_dir, "documents").select("doc_id"), _read(spark, sf_dir, "labels"), "doc_id")
+
+
+@query("""SELECT page_id FROM pages p WHERE NOT EXISTS (SELECT 1 FROM pages q WHERE q.page_id % 5 = 0 AND q.page_id <> p.page_id AND starts_with(p.url, regexp_extract(q.url, '^[a-z]+://[^/]+/[a-z]+/', 0)) AND regexp_extract(q.url, '^[a-z]+://[^/]+/[a-z]+/', 0) <> '' AND p.page_id % 5 <> 0) AND p.page_id % 5 <> 0""")
+def prefix_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _read(spark, sf_dir, "pages").select("page_id", "url")
+    done = p.where("page_id % 5 = 0").select(F.regexp_extract("url", r"^[a-z]+://[^/]+/[a-z]+/", 0).alias("prefix")).where("prefix <> ''").distinct()
+    return relational.without_prefix(p.where("page_id % 5 <> 0"), F.col("url"), done, "prefix", 12).select("page_id")
+
+
+@query("SELECT n_chars, doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY n_chars ORDER BY source, doc_id) AS r FROM documents) WHERE r = 1")
+def priority_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.first_by_priority(_read(spark, sf_dir, "documents").select("n_chars", "doc_id", "source"), "n_chars", F.col("source"), F.col("doc_id"))
+
+
+@query("""WITH u AS (SELECT c_custkey AS k FROM customer WHERE c_acctbal > 0), g AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS r FROM customer WHERE c_acctbal <= 0),
+h AS (SELECT i, row_number() OVER (ORDER BY i) AS r FROM generate_series(0, (SELECT max(c_custkey) FROM customer)) t(i) WHERE i NOT IN (SELECT k FROM u)) SELECT c_custkey, i AS new_id FROM g JOIN h USING (r)""")
+def free_id_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _read(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+    top = c.agg(F.max("c_custkey")).first()[0]
+    free = relational.not_in(spark.range(0, (top if top is not None else -1) + 1).withColumnRenamed("id", "new_id"), c.where("c_acctbal > 0").select(F.col("c_custkey").alias("new_id")), "new_id")
+    groups = relational.ranked(c.where("c_acctbal <= 0").select("c_custkey"), F.col("c_custkey"))
+    return groups.join(relational.ranked(free, F.col("new_id")), "n").select("c_custkey", "new_id")
+
+
+@query("SELECT s_suppkey, 'call_' || lpad(CAST(row_number() OVER (ORDER BY s_acctbal, s_suppkey) + 100 AS VARCHAR), 5, '0') || '.wav' AS new_name FROM supplier")
+def seq_renumber(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = relational.ranked(_read(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal"), F.col("s_acctbal"), F.col("s_suppkey"), start=101)
+    return s.select("s_suppkey", F.concat(F.lit("call_"), F.lpad(F.col("n").cast("string"), 5, "0"), F.lit(".wav")).alias("new_name"))
+
+
+@query("SELECT event_type, max(value) AS top FROM events GROUP BY event_type ORDER BY top DESC, event_type LIMIT 3")
+def topk_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "events").groupBy("event_type").agg(F.max("value").alias("top")).orderBy(F.desc("top"), "event_type").limit(3)
+
+
+def _vec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("features"), "label")
+
+
+_VEC = "v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings)"
+_CENT = f"""{_VEC}, p AS (SELECT label, i, avg(e[i]) AS m FROM v, generate_series(1, 64) t(i) GROUP BY label, i), c AS (SELECT label AS c, list(m ORDER BY i) AS m FROM p GROUP BY label),
+s AS (SELECT vec_id, label, c, list_dot_product(e, m) / sqrt(list_dot_product(e, e)) / sqrt(list_dot_product(m, m)) AS sim FROM v, c)"""
+
+
+@query("SELECT vec_id, label, 'a' AS species FROM embeddings WHERE label < 5 UNION ALL SELECT vec_id, NULL, 'b' FROM embeddings WHERE label >= 5")
+def union_species(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _read(spark, sf_dir, "embeddings").select("vec_id", "label")
+    a, b = e.where("label < 5").withColumn("species", F.lit("a")), e.where("label >= 5").drop("label").withColumn("species", F.lit("b"))
+    return a.unionByName(b, allowMissingColumns=True)
+
+
+@query("SELECT vec_id, len(embedding[1:8]) + len(embedding[9:64]) AS width, round(CAST(embedding[8] AS DOUBLE), 6) AS x8, round(CAST(embedding[9] AS DOUBLE), 6) AS x9 FROM embeddings")
+def hconcat_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _vec(spark, sf_dir)
+    a, b = e.select("vec_id", F.slice("features", 1, 8).alias("a")), e.select("vec_id", F.slice("features", 9, 56).alias("b"))
+    f = F.concat("a", "b")
+    return a.join(b, "vec_id").select("vec_id", F.size(f).cast("bigint").alias("width"), F.round(F.get(f, 7), 6).alias("x8"), F.round(F.get(f, 8), 6).alias("x9"))
+
+
+@query(f"WITH {_VEC}, m AS (SELECT i, avg(e[i]) AS m, stddev_pop(e[i]) AS s FROM v, generate_series(1, 8) t(i) GROUP BY i) SELECT vec_id, i, round((e[i] - m) / s, 6) AS z FROM v, m")
+def standardise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    z = vectors.standardised(_vec(spark, sf_dir).select("vec_id", F.slice("features", 1, 8).alias("features")), "features")
+    return z.select("vec_id", F.posexplode("features").alias("i", "z")).select("vec_id", (F.col("i") + 1).cast("bigint").alias("i"), F.round("z", 6).alias("z"))
+
+
+@query(f"WITH {_VEC}, x AS (SELECT vec_id, e[1:8] AS e FROM v) SELECT vec_id, i, round(e[i] / sqrt(list_dot_product(e, e)), 6) AS x FROM x, generate_series(1, 8) t(i)")
+def l2_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = _vec(spark, sf_dir).select("vec_id", F.posexplode(vectors.l2_normalised(F.slice("features", 1, 8))).alias("i", "x"))
+    return n.select("vec_id", (F.col("i") + 1).cast("bigint").alias("i"), F.round("x", 6).alias("x"))
+
+
+@query(f"WITH {_CENT} SELECT c AS label, i, round(m[i], 6) AS x FROM c, generate_series(1, 64) t(i)")
+def centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = vectors.centroids(_vec(spark, sf_dir), "label", "features").select("label", F.posexplode("centroid").alias("i", "x"))
+    return c.select("label", (F.col("i") + 1).cast("bigint").alias("i"), F.round("x", 6).alias("x"))
+
+
+def _sims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _vec(spark, sf_dir)
+    return vectors.similarities(v, vectors.centroids(v, "label", "features"), "features", "label")
+
+
+@query(f"WITH {_CENT} SELECT vec_id, arg_max(c, sim) AS cluster, round(max(sim), 6) AS sim FROM s GROUP BY vec_id")
+def cosine_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sims(spark, sf_dir).groupBy("vec_id").agg(F.max_by("_label", "sim").alias("cluster"), F.round(F.max("sim"), 6).alias("sim"))
+
+
+@query(f"WITH {_CENT} SELECT vec_id, c AS cluster, round(sim, 6) AS sim FROM s")
+def sim_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sims(spark, sf_dir).select("vec_id", F.col("_label").alias("cluster"), F.round("sim", 6).alias("sim"))
+
+
+@query(f"""WITH {_CENT}, o AS (SELECT label AS cluster, vec_id, sim, max(sim) OVER (PARTITION BY label) AS best FROM s WHERE label = c),
+r AS (SELECT cluster, vec_id, row_number() OVER (PARTITION BY cluster ORDER BY vec_id) AS r FROM o WHERE sim >= 0.95 * best) SELECT cluster, vec_id FROM r WHERE r <= 10""")
+def top_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _sims(spark, sf_dir).where("label = _label").select(F.col("label").alias("cluster"), "vec_id", "sim")
+    return relational.relative_top(own, "cluster", "sim", 0.95, 10, F.col("vec_id")).select("cluster", "vec_id")
+
+
+@query(f"WITH {_CENT} SELECT a.c AS i, b.c AS j, round(1 - list_dot_product(a.m, b.m) / sqrt(list_dot_product(a.m, a.m)) / sqrt(list_dot_product(b.m, b.m)), 6) AS dist FROM c a JOIN c b ON a.c < b.c WHERE 1 - list_dot_product(a.m, b.m) / sqrt(list_dot_product(a.m, a.m)) / sqrt(list_dot_product(b.m, b.m)) < 0.9")
+def centroid_merge_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = vectors.centroids(_vec(spark, sf_dir), "label", "features").select(F.col("label").alias("i"), vectors.l2_normalised(F.col("centroid")).alias("a"))
+    pairs = c.join(c.select(F.col("i").alias("j"), F.col("a").alias("b")), F.col("i") < F.col("j"))  # leaf centres, a few
+    return pairs.withColumn("dist", 1 - vectors.dot(F.col("a"), F.col("b"))).where("dist < 0.9").select("i", "j", F.round("dist", 6).alias("dist"))
+
+
+@query(f"""WITH {_VEC}, d AS (SELECT a.vec_id, a.label, b.label AS o, sum(list_distance(a.e, b.e)) AS s, count(*) AS n FROM v a, v b GROUP BY 1, 2, 3),
+x AS (SELECT vec_id, sum(CASE WHEN o = label THEN s END) / (sum(CASE WHEN o = label THEN n END) - 1) AS a, min(CASE WHEN o <> label THEN s / n END) AS b FROM d GROUP BY vec_id)
+SELECT round(avg((b - a) / greatest(a, b)), 6) AS silhouette FROM x""")
+def silhouette_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.silhouette(_vec(spark, sf_dir), "vec_id", "features", "label").select(F.round("silhouette", 6).alias("silhouette"))
+
+
+@query("WITH n AS (SELECT event_type, count(*) AS c FROM events GROUP BY 1), w AS (SELECT event_type, sum(c) OVER () / (count(*) OVER () * c) AS w FROM n) SELECT event_type, round(w / sum(w) OVER () * count(*) OVER (), 9) AS weight FROM w")
+def class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.class_weights(_read(spark, sf_dir, "events"), "event_type").withColumn("weight", F.round("weight", 9))
+
+
+@query("SELECT round(avg(CASE WHEN quality = toxic THEN 1.0 ELSE 0.0 END), 9) AS overall, round(avg(CASE WHEN toxic = 0 THEN CASE WHEN quality = toxic THEN 1.0 ELSE 0.0 END END), 9) AS class0 FROM labels WHERE toxic IS NOT NULL")
+def frame_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = relational.masked_accuracy(_read(spark, sf_dir, "labels"), "quality", "toxic")
+    return a.select(F.round("overall", 9).alias("overall"), F.round("class0", 9).alias("class0"))
+
+
+@query(f"WITH {F_SQL} SELECT user_id, i, round(sum(value) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN 5 PRECEDING AND 4 FOLLOWING) / 10, 6) AS smooth FROM f")
+def moving_average(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return smoothing.moving_average(_frames(spark, sf_dir), "user_id", "value").select("user_id", "i", F.round("smooth", 6).alias("smooth"))
+
+
+@query(f"""WITH {F_SQL}, w AS (SELECT user_id, i, list_sort([coalesce(lag(value, 2) OVER w, 0), coalesce(lag(value, 1) OVER w, 0), value, coalesce(lead(value, 1) OVER w, 0), coalesce(lead(value, 2) OVER w, 0)]) AS l FROM f WINDOW w AS (PARTITION BY user_id ORDER BY i)) SELECT user_id, i, l[3] AS median FROM w""")
+def running_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return smoothing.running_median(_frames(spark, sf_dir), "user_id", "value").select("user_id", "i", "median")
+
+
+@query(f"WITH {F_SQL} SELECT user_id, i, round(CASE WHEN max(value) OVER (PARTITION BY user_id) > 0 THEN value / max(value) OVER (PARTITION BY user_id) ELSE value END, 6) AS norm FROM f")
+def norm_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return smoothing.normalised(_frames(spark, sf_dir), "user_id", "value").select("user_id", "i", F.round("norm", 6).alias("norm"))
+
+
+def _peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return smoothing.local_peaks(smoothing.normalised(_frames(spark, sf_dir), "user_id", "value"), "user_id", "norm")
+
+
+@query(f"""WITH {F_SQL}, n AS (SELECT user_id, i, CASE WHEN max(value) OVER (PARTITION BY user_id) > 0 THEN value / max(value) OVER (PARTITION BY user_id) ELSE value END AS x FROM f),
+m AS (SELECT *, CASE WHEN lag(x) OVER (PARTITION BY user_id ORDER BY i) = x THEN 0 ELSE 1 END AS n FROM n), r AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY i) AS run FROM m),
+p AS (SELECT user_id, min(i) AS a, max(i) AS b, min(x) AS x FROM r GROUP BY user_id, run), q AS (SELECT *, lag(x) OVER (PARTITION BY user_id ORDER BY a) AS l, lead(x) OVER (PARTITION BY user_id ORDER BY a) AS h FROM p)
+SELECT user_id, CAST((a + b) // 2 AS INT) AS i, round(x, 6) AS norm FROM q WHERE x > l AND x > h AND x >= 0.3""")
+def local_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _peaks(spark, sf_dir).withColumn("norm", F.round("norm", 6))
+
+
+@query()
+def peak_count_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return smoothing.distant_peaks(_peaks(spark, sf_dir), "user_id", "norm").groupBy("user_id").agg(F.count("*").alias("n"))
+
+
+def _windows(spark: SparkSession, sf_dir: str, tail: str) -> DataFrame:
+    w = vectors.windows(F.col("features"), 24, 12, tail)
+    return _vec(spark, sf_dir).select("vec_id", F.posexplode(w).alias("w", "x")).select("vec_id", "w", F.round(vectors.mean(F.col("x")), 6).alias("mean"))
+
+
+@query(f"WITH {_VEC} SELECT vec_id, w, round(list_avg(e[12 * w + 1 : 12 * w + 24]), 6) AS mean FROM v, (SELECT CAST(unnest([0, 1, 2, 3]) AS INT) AS w)")
+def array_windows_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _windows(spark, sf_dir, "drop")
+
+
+@query(f"WITH {_VEC} SELECT vec_id, w, round(list_avg(CASE WHEN w = 4 THEN e[41:64] ELSE e[12 * w + 1 : 12 * w + 24] END), 6) AS mean FROM v, (SELECT CAST(unnest([0, 1, 2, 3, 4]) AS INT) AS w)")
+def array_windows_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _windows(spark, sf_dir, "anchor")
+
+
+_BIC = [(2, 912.0), (3, 655.5), (4, 498.0), (5, 471.25), (6, 480.0), (7, 470.5), (8, 530.0)]
+
+
+@query(f"""WITH b(k, bic) AS (VALUES {", ".join(map(str, _BIC))}), s AS (SELECT min(bic) AS m, stddev_pop(bic) AS d FROM b) SELECT thr, CAST(min(k) AS INT) AS k, CAST(count(*) AS BIGINT) AS n FROM b, s, (SELECT unnest([CAST(0.5 AS DOUBLE), 1.0]) AS thr) WHERE bic <= m + thr * d GROUP BY thr""")
+def bic_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.select_k(spark.createDataFrame(_BIC, "k int, bic double"), [0.5, 1.0])
+
+
+@query("SELECT source, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS total FROM documents GROUP BY source")
+def dir_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("total"))
+
+
+@query()
+def kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.kmeans(_vec(spark, sf_dir), "features", 10).select("vec_id", "cluster", "probs")
+
+
+@query()
+def gmm_soft(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.gmm(clustering.pca(_vec(spark, sf_dir), "features", 5), "features", 5).select("vec_id", "probs")
+
+
+@query()
+def pca2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.pca(_vec(spark, sf_dir), "features", 2).select("vec_id", F.col("features").alias("pc"))
+
+
+@query()
+def bic_scan_diag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = clustering.pca(_vec(spark, sf_dir), "features", 5)
+    return clustering.bic_scan(x, "features", range(2, 6), "diag")
+
+
+@query()
+def bic_scan_tied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = clustering.pca(_vec(spark, sf_dir), "features", 5)
+    return clustering.bic_scan(x, "features", range(2, 5), "tied")
+
+
+@query()
+def size_bounded_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _vec(spark, sf_dir).withColumn("features", vectors.l2_normalised(F.col("features")))
+    return clustering.bounded_leaves(v, "features", max(v.count() // 6, 1)).select("vec_id", "leaf")
+
+
+@query()
+def subcluster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = clustering.gmm(clustering.pca(_vec(spark, sf_dir), "features", 5), "features", 4).withColumn("repeats", (F.col("vec_id") % 7 + 1).cast("double"))
+    return clustering.subclusters(v, "vec_id", "probs", "repeats")
