@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import dsp
@@ -85,17 +85,20 @@ def embedded(df: DataFrame, encoder: Callable[[np.ndarray, int], np.ndarray], po
     return _mapped(df, record, "filename string, log_duration double, features array<double>, error string")
 
 
+_KINDS = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "array<double>": pa.list_(pa.float64())}
+
+
 def _mapped(df: DataFrame, record: Callable[[np.ndarray, int], dict], schema: str) -> DataFrame:
-    names = [c.split()[0] for c in schema.split(", ")]
+    fields = pa.schema([(c.split()[0], _KINDS[c.split()[1]]) for c in schema.split(", ")])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             rows = []
-            for name, rate, samples in zip(pdf["filename"], pdf["sr"], pdf["samples"], strict=True):
+            for r in batch.to_pylist():
                 try:
-                    rows.append({"filename": name, "error": None} | record(np.asarray(samples, float), int(rate)))
+                    rows.append({"filename": r["filename"]} | record(np.asarray(r["samples"], float), int(r["sr"])))
                 except Exception as e:  # noqa: BLE001  one bad file must not end the job
-                    rows.append({"filename": name, "error": f"{type(e).__name__}: {e}"})
-            yield pd.DataFrame(rows, columns=names)
+                    rows.append({"filename": r["filename"], "error": f"{type(e).__name__}: {e}"})
+            yield pa.RecordBatch.from_pylist(rows, fields)
 
-    return df.select("filename", "sr", "samples").mapInPandas(run, schema)
+    return df.select("filename", "sr", "samples").mapInArrow(run, schema)

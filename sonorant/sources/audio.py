@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,18 +59,21 @@ def encode(samples: np.ndarray, rate: int) -> bytes:
 def recordings(found: DataFrame, downmix: str = "mean") -> DataFrame:
     """``(filename, sr, samples, duration, error)``; an unreadable file has a null rate, duration 0 and an error."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             rows = []
-            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+            for path, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                row = {"filename": path.rsplit("/", 1)[-1], "duration": 0.0}
                 try:
                     rate, x = decode(content, downmix)
-                    rows.append((path.rsplit("/", 1)[-1], rate, x.astype(np.float32), len(x) / rate, None))
+                    row |= {"sr": rate, "samples": x.astype(np.float32), "duration": len(x) / rate}
                 except Exception as e:  # noqa: BLE001  one bad file must not end the job
-                    rows.append((path.rsplit("/", 1)[-1], None, None, 0.0, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["filename", "sr", "samples", "duration", "error"]).astype({"sr": "Int32"})
+                    row["error"] = f"{type(e).__name__}: {e}"
+                rows.append(row)
+            yield pa.RecordBatch.from_pylist(rows, fields)
 
-    return found.select("path", "content").mapInPandas(run, "filename string, sr int, samples array<float>, duration double, error string")
+    fields = pa.schema([("filename", pa.string()), ("sr", pa.int32()), ("samples", pa.list_(pa.float32())), ("duration", pa.float64()), ("error", pa.string())])
+    return found.select("path", "content").mapInArrow(run, "filename string, sr int, samples array<float>, duration double, error string")
 
 
 def clips(audio: DataFrame, segments: DataFrame, hop: int = 320) -> DataFrame:
