@@ -166,3 +166,38 @@ def masked(x: np.ndarray, rng: np.random.Generator, bands: int = 30, frames: int
         at = int(rng.integers(0, x.shape[axis] - width + 1))
         out[(slice(None), slice(at, at + width)) if axis else slice(at, at + width)] = 0
     return out
+
+
+def delta(x: np.ndarray, width: int = 9, order: int = 1) -> np.ndarray:
+    """Local slope (or curvature for ``order`` 2) of each row over ``width`` frames: a least-squares polynomial of that order, ends by edge values."""
+    h = width // 2
+    t = np.arange(-h, h + 1)
+    weights = np.linalg.pinv(np.vander(t, order + 1, increasing=True))[order] * (1 if order == 1 else 2)
+    wide = np.pad(np.asarray(x, float), [(0, 0)] * (x.ndim - 1) + [(h, h)], mode="edge")
+    return np.lib.stride_tricks.sliding_window_view(wide, width, axis=-1) @ weights
+
+
+def resized(x: np.ndarray, frames: int) -> np.ndarray:
+    """(frames, bands) by cubic convolution (a = -0.5) along time; an own interpolation, not bit-equal to image libraries."""
+    n = len(x)
+    if not n:
+        return np.zeros((frames, x.shape[1]))
+    at = (np.arange(frames) + 0.5) * n / frames - 0.5
+    base = np.floor(at).astype(int)
+    out, total = np.zeros((frames, x.shape[1])), np.zeros(frames)
+    for k in range(-1, 3):
+        d = np.abs(at - (base + k))
+        w = np.where(d <= 1, 1.5 * d**3 - 2.5 * d**2 + 1, np.where(d < 2, -0.5 * d**3 + 2.5 * d**2 - 4 * d + 2, 0.0))
+        out += w[:, None] * x[np.clip(base + k, 0, n - 1)]
+        total += w
+    return out / total[:, None]
+
+
+def byte_windows(x: np.ndarray, size: int = 224, hop: int = 112) -> np.ndarray:
+    """Windows along the last axis, short input padded with its minimum, each scaled to 0..255 by its own range."""
+    if x.shape[-1] < size:
+        x = np.pad(x, [(0, 0)] * (x.ndim - 1) + [(0, size - x.shape[-1])], constant_values=x.min() if x.size else 0.0)
+    w = np.moveaxis(np.lib.stride_tricks.sliding_window_view(x, size, axis=-1)[..., ::hop, :], -2, 0)
+    axes = tuple(range(1, w.ndim))
+    low, high = w.min(axis=axes, keepdims=True), w.max(axis=axes, keepdims=True)
+    return ((w - low) / np.where(high > low, high - low, 1) * 255).astype(np.uint8)

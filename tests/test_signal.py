@@ -57,7 +57,7 @@ def test_files_features_and_errors(spark, tmp_path):
     e = calls.embedded(rec, lambda x, rate: np.stack([x[:4], x[4:8]])).collect()
     assert sorted(r["error"] is None for r in e) == [False, True]
     grids = audio.files(spark, str(tmp_path), [".textgrid"])
-    assert [tuple(r) for r in audio.tier_events(grids, "calls", "crow").collect()] == [("a_00001_1.wav", 0.1, 0.4, "crow")]
+    assert [tuple(r) for r in audio.tier_events(grids, "calls", "call").collect()] == [("a_00001_1.wav", 0.1, 0.4, "call")]
     assert audio.pairs(found, grids).count() == 1
 
 
@@ -81,3 +81,14 @@ def test_streaming_sessions_coalesce_like_the_batch_rule(spark, tmp_path):
         q.stop()
     got = sorted((r["onset"], r["offset"], r["n"]) for r in spark.table("merged").collect())
     assert got == [(at(0), at(12), 3), (at(40), at(41), 1)]
+
+
+def test_deltas_resizing_and_byte_windows():
+    line = np.tile(np.arange(30.0), (2, 1))
+    assert np.allclose(dsp.delta(line)[:, 5:-5], 1) and np.allclose(dsp.delta(line**2, order=2)[:, 5:-5], 2)
+    assert np.allclose(dsp.resized(np.ones((7, 3)), 20), 1)
+    ramp = dsp.resized(np.arange(10.0)[:, None] * np.ones((1, 2)), 40)
+    assert (np.diff(ramp[4:-4, 0]) > 0).all()
+    w = dsp.byte_windows(np.random.default_rng(0).random((3, 500)))
+    assert w.shape == (3, 3, 224) and w.max() == 255 and w.min() == 0
+    assert dsp.byte_windows(np.ones((3, 10))).shape == (1, 3, 224)
