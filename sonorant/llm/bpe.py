@@ -27,9 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Slices a worker remembers before it starts its memo anew.
-MEMO = 400_000
-#: Code points that are scanned at once.
-SCAN = 2_000_000
+MEMO = 250_000
+#: Rows of an arrow batch that are worked on at once, and code points that are scanned at once.
+ROWS = 500
+SCAN = 500_000
 
 # classes of code points
 LETTER, NUMBER, OTHER, QUOTE1, QUOTE2, SPACE, LAST_BLANK, LAST_SPACE, BREAK = range(9)
@@ -206,6 +207,12 @@ def _encode(texts: list[str], known: Memo) -> list[bytes]:
     return out
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, ids, ends)``: the text's ids and, for each, where its bytes end in the text.
 
@@ -216,7 +223,7 @@ def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = np.fromiter(map(len, load_tokens(ranks_path)), np.uint32)
-        for batch in batches:
+        for batch in _slices(batches):
             ids = encode_texts([x or "" for x in batch.column(1).to_pylist()], ranks_path)
             ends = [np.cumsum(sizes[np.frombuffer(x, "<u4")], dtype="<u4").tobytes() for x in ids]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(ends, pa.binary())], ["id", "ids", "ends"])
@@ -238,7 +245,7 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = load_tokens(ranks_path)
-        for batch in batches:
+        for batch in _slices(batches):
             back = [decode_ids(i or b"", e or b"", tokens) for i, e in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(back, pa.binary())], ["id", "ids", "ends", "decoded"])
 
