@@ -104,3 +104,8 @@ def test_bounded_leaves(spark):
     assert out.count() == 60 and max(r["count"] for r in out.groupBy("leaf").count().collect()) <= 25
     same = spark.createDataFrame([(i, [1.0, 1.0]) for i in range(6)], "id int, features array<double>")
     assert clustering.bounded_leaves(same, "features", 2).count() == 6
+
+
+def test_leaves_merge_at_most_once(spark):
+    pairs = spark.createDataFrame([(0, 1, 0.05), (1, 2, 0.01), (0, 3, 0.1), (2, 3, 0.5)], "i int, j int, dist double")
+    assert clustering.merge_leaves(pairs, [0, 1, 2, 3]) == {0: 0, 1: 1, 2: 1, 3: 0}
