@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from itertools import combinations
-from math import comb
+from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
@@ -312,28 +312,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(members, "fp", "left").select("id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Fingerprints of distinct words link at this many bits, those of shingles at that many; texts at Jaccard 0.8
-#: or more were within 8 and 17.
+#: Fingerprints of distinct words within this many bits and of shingles within that many make the first candidates.
 WORD_RADIUS, SHINGLE_RADIUS = 8, 20
 
 
-def text_fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """``(id, node, fp, wide)``: a hash of the words in order, the fingerprint of the distinct words and that of the shingles."""
+def text_fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> DataFrame:
+    """``(id, node, fp, wide, size, low)``.
+
+    A hash of the words in order, the fingerprint of the distinct words and that of the shingles, how many
+    distinct shingles there are and the least of their hashes, of which texts ``similarity`` alike share one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            rows, sizes, lows = [], [], []
             for text in texts(batch.column(1)):
                 words = text.lower().split()
                 one = np.fromiter({xxhash.xxh64_intdigest(w, SEED) for w in set(words)}, np.uint64)
                 wide = np.array(shingle_hashes(text, width), np.uint64)
                 pair = majority(np.concatenate([one, wide]), np.array([len(one), len(wide)]))
+                own = np.unique(wide)
+                sizes.append(len(own))
+                lows.append(own[: len(own) - ceil(similarity * len(own) - 1e-9) + 1].view(np.int64))
                 rows.append((np.uint64(xxhash.xxh64_intdigest(b" ".join(words), SEED)), *pair))
             found = np.array(rows, np.uint64).reshape(-1, 3).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(found[:, i])) for i in range(3))], ["id", "node", "fp", "wide"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(found[:, i])) for i in range(3)), pa.array(sizes, pa.int32()), pa.array(lows, pa.list_(pa.int64()))], ["id", "node", "fp", "wide", "size", "low"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, node bigint, fp bigint, wide bigint")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, node bigint, fp bigint, wide bigint, size int, low array<bigint>")
 
 
 def _similar(pairs: DataFrame, docs: DataFrame, prints: DataFrame, text_col: str, id_col: str, width: int, similarity: float) -> DataFrame:
@@ -360,14 +366,14 @@ def _similar(pairs: DataFrame, docs: DataFrame, prints: DataFrame, text_col: str
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """``(id, node, component)`` of every row: texts whose shingle sets are ``similarity`` alike, linked.
 
-    Candidates come from SimHash: fingerprints of the distinct words within
-    ``WORD_RADIUS`` bits and of the shingles within ``SHINGLE_RADIUS``; each is
-    verified. First a spanning forest of each comparison is verified; then links
-    between the components so found, so that a large group of near copies never
-    becomes all its pairs. Texts of equal words are one node; ids should be unique.
+    The first candidates come from SimHash (distinct words within ``WORD_RADIUS`` bits, shingles within
+    ``SHINGLE_RADIUS``), of which a spanning forest is verified. Then texts meet on the least of their shingle
+    hashes (a prefix filter, complete for ``similarity``): under each, those outside the component that dominates
+    it are held against those of other components, so that a large group of near copies never becomes all its
+    pairs. Every link is verified. Texts of equal words are one node; ids should be unique.
     """
-    prints, _ = stage(text_fingerprints(docs, id_col, text_col, width), "prints")
-    nodes, _ = stage(prints.groupBy("node").agg(F.min("fp").alias("fp"), F.min("wide").alias("wide")), "nodes")
+    prints, _ = stage(text_fingerprints(docs, id_col, text_col, width, similarity), "prints")
+    nodes, _ = stage(prints.groupBy("node").agg(*[F.first(c).alias(c) for c in ("fp", "wide", "size", "low")]), "nodes")  # the same for equal words
 
     def near(wide: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
         return lambda a, b: np.bitwise_count((wide[a] ^ wide[b]).view(np.uint64)) <= SHINGLE_RADIUS
@@ -376,20 +382,20 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
         a, b = _compare(fp.view(np.uint64), side, unit, WORD_RADIUS, near(wide))
         return [node[a], node[b]]
 
-    def between(fp: np.ndarray, unit: np.ndarray, side: np.ndarray, node: np.ndarray, wide: np.ndarray, comp: np.ndarray) -> list[np.ndarray]:
-        alike = near(wide)
-        a, b = _compare(fp.view(np.uint64), side, unit, WORD_RADIUS, lambda a, b: (comp[a] != comp[b]) & alike(a, b), forest=False)
-        return [np.minimum(node[a], node[b]), np.maximum(node[a], node[b])]
-
     pair = "a bigint, b bigint"
     first = _units(nodes, WORD_RADIUS, CHUNK, "node", "wide").mapInArrow(lambda x: _over_units(x, spanning, ["a", "b"]), pair).distinct()
     first, _ = stage(first, "candidates")
     comps = connected_components(_similar(first, docs, prints, text_col, id_col, width, similarity))
-    heads = comps.select(F.col("component").alias("node"), "component").distinct()
-    named = nodes.join(comps.unionByName(heads), "node", "left").select("node", "fp", "wide", F.coalesce("component", "node").alias("comp"))
-    named, _ = stage(named, "named")
-    more = _units(named, WORD_RADIUS, CHUNK, "node", "wide", "comp").mapInArrow(lambda x: _over_units(x, between, ["a", "b"]), pair).distinct()
-    more, _ = stage(more.join(first, ["a", "b"], "left_anti"), "candidates")
+    heads = comps.groupBy("component").agg((F.count("*") + 1).alias("members"))
+    member = comps.join(heads, "component").unionByName(heads.withColumn("node", F.col("component")))
+    # one exchange serves all that follows
+    met = nodes.join(member, "node", "left").select("node", "size", "component", "members", F.explode("low").alias("v")).repartition("v")
+    met = met.select("v", "node", "size", F.coalesce("component", "node").alias("comp"), F.coalesce("members", F.lit(1)).alias("members"))
+    ruling = met.groupBy("v").agg(F.max_by("comp", "members").alias("ruler"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("v", "ruler")
+    outside = met.join(ruling, "v").where("comp <> ruler").select("v", "ruler", F.col("node").alias("a"), F.col("size").alias("na"), F.col("comp").alias("ca"))
+    inside = met.select("v", F.col("node").alias("b"), F.col("size").alias("nb"), F.col("comp").alias("cb"))
+    more = outside.join(inside, "v").where("ca <> cb AND (ca < cb OR cb = ruler)").where(F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb") - 1e-9)
+    more, _ = stage(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
     links2 = _similar(more, docs, prints, text_col, id_col, width, similarity)
     final = connected_components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links2)).withColumnRenamed("node", "n")
     return prints.join(final, F.col("node") == F.col("n"), "left").select("id", "node", F.coalesce("component", "node").alias("component"))

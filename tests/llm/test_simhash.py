@@ -112,3 +112,18 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame(list(zip(order, order[1:], strict=False)) + [(None, 1), (5, 5)], "a bigint, b bigint")
     assert {tuple(r) for r in S.connected_components(edges).collect()} == {(i, 0) for i in range(1, n)}
     assert S.connected_components(edges.limit(0)).count() == 0
+
+
+def test_lengthened_and_cut_copies_are_found_at_every_length(docs_of):
+    rng = random.Random(5)
+    texts = []
+    for n in (20, 40, 60, 100, 200, 300):
+        for share in (0.1, 0.15, 0.2, 0.3):
+            for cut in (False, True):
+                for _ in range(3):
+                    w = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+                    more = [f"w{rng.randrange(10**6)}" for _ in range(int(n * share))]
+                    texts += [" ".join(w), " ".join(w[: n - len(more)] if cut else w + more)]
+    kept = {r["doc_id"] for r in S.first_of_groups(docs_of(texts)).collect()}
+    gone = {i + 1 for i in range(0, len(texts), 2) if jaccard(texts[i], texts[i + 1]) >= 0.8}
+    assert len(gone) > 40 and kept == set(range(len(texts))) - gone
