@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words are runs of anything but these bytes; ``bytes.split()`` splits on the same set.
@@ -14,16 +16,18 @@ WORD_BREAKS = b"\x20\x09\x0a\x0b\x0c\x0d"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a local one where it is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``; one of its own only where everything runs in one process."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="sonorant-")
         spark.sparkContext.setCheckpointDir(base)
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
-def stage(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def stage(df: DataFrame, name: str, compression: str = "snappy") -> tuple[DataFrame, str]:
     """Write ``df`` as Parquet to the shared folder and read it again, which cuts its lineage.
 
     A lost executor then costs a reread of files instead of the whole history.
@@ -31,14 +35,15 @@ def stage(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sonorant-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def drop(spark: SparkSession, path: str) -> None:
-    """Delete a staged table that nothing reads any more."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+def drop(spark: SparkSession, *paths: str) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -82,6 +87,91 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
+#: A block is hot from this many members on; they are counted over one member in ``_EVERY``.
+_HOT, _EVERY = 100_000, 64
+#: Hot blocks that are dealt out, at most (the largest); each of its parts.
+_MOST_HOT, _PARTS = 10_000, 1024
+
+
+def meeting(blocks: DataFrame) -> DataFrame:
+    """Of ``blocks(v, key, ...)`` the rows of every ``v`` that holds two keys or more.
+
+    ``key`` is a hash, and stands once under a ``v``. One exchange by ``v`` does it;
+    blocks that are hot in a sample are known to hold more, so they are dealt
+    into parts (that bears on speed alone).
+    """
+    some = blocks.where(F.pmod("key", F.lit(_EVERY)) == 0).groupBy("v").agg(F.count("*").alias("n")).where(F.col("n") >= _HOT // _EVERY)
+    hot = some.orderBy(F.desc("n")).limit(_MOST_HOT).select("v", F.lit(True).alias("_hot"))
+    dealt = blocks.join(F.broadcast(hot), "v", "left").withColumn("_part", F.when(F.col("_hot"), F.pmod("key", F.lit(_PARTS))).otherwise(0))
+    own = Window.partitionBy("v", "_part")
+    both = dealt.withColumn("_low", F.min("key").over(own)).withColumn("_high", F.max("key").over(own))
+    return both.where("_hot OR _low <> _high").drop("_hot", "_part", "_low", "_high")
+
+
+def linked(
+    met: DataFrame, verified: Callable[[DataFrame], DataFrame], similarity: float, shared: int = 1, comps: DataFrame | None = None
+) -> DataFrame:
+    """Components ``(node, component)`` of all verified links between members that meet.
+
+    ``met(v, key, size, need)``: ``meeting`` blocks; a pair is a candidate if it
+    meets under ``need`` of them (of two members the lesser) and the smaller size
+    is ``similarity`` of the larger or more. ``verified`` cuts candidates ``(a, b)``
+    down to links. ``comps``: components known before.
+
+    So that a large group never becomes all its pairs, members are first held
+    against one chief of each block. Then, within each block, those outside the
+    component that dominates it are held against all of other components.
+    """
+    for whole in (False, True):
+        if comps is None:
+            named = met.withColumn("comp", F.col("key")).withColumn("members", F.lit(1).cast("bigint"))
+            chief = F.min("key")
+        else:
+            heads = comps.groupBy("component").agg((F.count("*") + 1).alias("members"))
+            member = comps.join(heads, "component").unionByName(heads.withColumn("node", F.col("component")))
+            named = met.join(member, met["key"] == member["node"], "left").drop("node")
+            named = named.withColumn("comp", F.coalesce("component", "key")).withColumn("members", F.coalesce("members", F.lit(1))).drop("component")
+            chief = F.max_by("key", "members")
+        named = named.repartition("v")  # one exchange serves all that follows
+        ruler = chief if comps is None else F.max_by("comp", "members")
+        ruling = named.groupBy("v").agg(ruler.alias("ruler"), chief.alias("chief"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").drop("c0", "c1")
+        outside = named.join(ruling, "v").where("comp <> ruler").select("v", "ruler", "chief", F.col("key").alias("a"), F.col("size").alias("na"), F.col("need").alias("da"), F.col("comp").alias("ca"))
+        if whole:
+            inside = named.select("v", F.col("key").alias("b"), F.col("size").alias("nb"), F.col("need").alias("db"), F.col("comp").alias("cb"))
+            pairs = outside.join(inside, "v").where("ca <> cb AND (ca < cb OR cb = ruler)").where(F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb") - 1e-9)
+            need = F.least("da", "db")
+        else:
+            pairs, need = outside.withColumn("b", F.col("chief")), F.col("da")
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), need.alias("need"))
+        counted = pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("need").alias("need")).where("n >= need") if shared > 1 else pairs
+        candidates, path = stage(counted.select("a", "b").distinct() if shared == 1 else counted.select("a", "b"), "candidates")
+        links = verified(candidates)
+        if comps is not None:
+            links = links.unionByName(comps.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        comps = connected_components(links)
+        drop(met.sparkSession, path)
+    return comps
+
+
+def salted_join(rows: DataFrame, table: DataFrame, keys: list[str], parts: int = 8) -> DataFrame:
+    """Inner join of ``rows``, of which many may share a key, with ``table``, which has each key once; a key's rows go to ``parts`` places."""
+    dealt = rows.withColumn("_part", F.pmod(F.xxhash64(*rows.columns), F.lit(parts)).cast("int"))
+    return dealt.join(table.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))), [*keys, "_part"]).drop("_part")
+
+
+#: Places of a bit map of keys; its size does not grow with the data.
+_MAP = 1 << 24
+
+
+def maybe_in(rows: DataFrame, ids: DataFrame, key: str = "key") -> DataFrame:
+    """``rows`` without most of those whose ``key`` (a hash) is not among ``ids(key)``: a broadcast bit map of fixed size (2 MB), for an exact join to follow."""
+    at = F.pmod(F.col(key), F.lit(_MAP))
+    word, bit = F.shiftright(at, 6), F.call_function("shiftleft", F.lit(1).cast("bigint"), at.bitwiseAND(F.lit(63)).cast("int"))
+    mask = ids.select(word.alias("_w"), bit.alias("_b")).groupBy("_w").agg(F.bit_or("_b").alias("_mask"))  # at most _MAP / 64 rows
+    some = rows.withColumn("_w", word).withColumn("_b", bit).join(F.broadcast(mask), "_w")
+    return some.where(F.col("_mask").bitwiseAND(F.col("_b")) != 0).drop("_w", "_b", "_mask")
+
+
 def texts(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column, null as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
