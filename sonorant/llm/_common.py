@@ -96,7 +96,7 @@ _MOST_HOT, _PARTS = 10_000, 1024
 def meeting(blocks: DataFrame) -> DataFrame:
     """Of ``blocks(v, key, ...)`` the rows of every ``v`` that holds two keys or more.
 
-    ``key`` is a hash, and stands once under a ``v``. One exchange by ``v`` does it;
+    ``key`` is a number whose low bits vary, and stands once under a ``v``. One exchange by ``v`` does it;
     blocks that are hot in a sample are known to hold more, so they are dealt
     into parts (that bears on speed alone).
     """
@@ -153,23 +153,34 @@ def linked(
     return comps
 
 
-def salted_join(rows: DataFrame, table: DataFrame, keys: list[str], parts: int = 8) -> DataFrame:
-    """Inner join of ``rows``, of which many may share a key, with ``table``, which has each key once; a key's rows go to ``parts`` places."""
+def salted_join(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner", parts: int = 8) -> DataFrame:
+    """Join of ``rows``, of which many may share a key, with ``table``, which has each key once; a key's rows go to ``parts`` places."""
     dealt = rows.withColumn("_part", F.pmod(F.xxhash64(*rows.columns), F.lit(parts)).cast("int"))
-    return dealt.join(table.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))), [*keys, "_part"]).drop("_part")
+    return dealt.join(table.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))), [*keys, "_part"], how).drop("_part")
 
 
 #: Places of a bit map of keys; its size does not grow with the data.
 _MAP = 1 << 24
 
 
-def maybe_in(rows: DataFrame, ids: DataFrame, key: str = "key") -> DataFrame:
-    """``rows`` without most of those whose ``key`` (a hash) is not among ``ids(key)``: a broadcast bit map of fixed size (2 MB), for an exact join to follow."""
-    at = F.pmod(F.col(key), F.lit(_MAP))
+def _marked(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """``rows`` with ``_in``: false if ``key`` is surely not among ``ids(key)``, by a broadcast bit map of fixed size (2 MB)."""
+    at = F.pmod(F.xxhash64(key), F.lit(_MAP))
     word, bit = F.shiftright(at, 6), F.call_function("shiftleft", F.lit(1).cast("bigint"), at.bitwiseAND(F.lit(63)).cast("int"))
     mask = ids.select(word.alias("_w"), bit.alias("_b")).groupBy("_w").agg(F.bit_or("_b").alias("_mask"))  # at most _MAP / 64 rows
-    some = rows.withColumn("_w", word).withColumn("_b", bit).join(F.broadcast(mask), "_w")
-    return some.where(F.col("_mask").bitwiseAND(F.col("_b")) != 0).drop("_w", "_b", "_mask")
+    some = rows.withColumn("_w", word).join(F.broadcast(mask), "_w", "left")
+    return some.withColumn("_in", F.coalesce(F.col("_mask").bitwiseAND(bit) != 0, F.lit(False))).drop("_w", "_mask")
+
+
+def maybe_in(rows: DataFrame, ids: DataFrame, key: str = "key") -> DataFrame:
+    """``rows`` without most of those whose ``key`` is not among ``ids(key)``, for an exact join to follow."""
+    return _marked(rows, ids, key).where("_in").drop("_in")
+
+
+def split_by(rows: DataFrame, ids: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` whose ``key`` may be among ``ids(key)``, for an exact join, and the others, which need none."""
+    marked = _marked(rows, ids, key)
+    return marked.where("_in").drop("_in"), marked.where("NOT _in").drop("_in")
 
 
 def texts(column: pa.Array) -> list[bytes]:

@@ -10,12 +10,14 @@ beyond the radius. Only a spanning forest of the links of each comparison leaves
 its task, never all pairs.
 
 Nulls, empties: a null or word-less text has fingerprint 0 and links like any
-other. Repeated rows and ties stay as rows, each with the same component. Extra
-columns of the input are ignored.
+other. Repeated rows and ties stay as rows, each with the same component. An
+empty table gives no rows. Texts are hashed whole, however long. Extra columns of
+the input are ignored, whatever their names (``first_of_groups`` keeps them).
 """
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable, Iterator
 from itertools import combinations
 from math import ceil, comb
@@ -26,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import connected_components, stage, texts
+from ._common import connected_components, drop, linked, maybe_in, meeting, split_by, stage, texts
 
 SEED = 42
 #: Fingerprints of one key that are compared with one another in one unit of work.
@@ -251,7 +253,7 @@ def _units(fps: DataFrame, radius: int, chunk: int, *carried: str) -> DataFrame:
     sizes = made.groupBy("k", "v").count()
     hot = sizes.where(F.col("count") > chunk).select("k", "v", F.ceil(F.col("count") / chunk).cast("int").alias("parts"))
     shared = made.join(hot, ["k", "v"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    own = F.pmod(F.xxhash64(F.col("fp"), F.lit(7)), F.col("parts")).cast("int")
+    own = F.pmod(F.xxhash64(F.col("fp"), *carried, F.lit(7)), F.col("parts")).cast("int")  # equal fingerprints of unlike texts are dealt too
     units = (
         shared.withColumn("own", own)
         .withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -316,64 +318,83 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 WORD_RADIUS, SHINGLE_RADIUS = 8, 20
 
 
+def _hashes(text: str = "text") -> list[Column]:
+    """128 bits that tell texts apart; null is an empty text."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    return [F.xxhash64(whole).alias("h"), F.xxhash64(F.lit(1), whole).alias("h2")]
+
+
+def _node(words: list[bytes]) -> tuple[int, int]:
+    """128 bits of the words in order, as two signed numbers."""
+    return struct.unpack("<qq", xxhash.xxh3_128_digest(b" ".join(words), SEED))
+
+
 def text_fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> DataFrame:
-    """``(id, node, fp, wide, size, low)``.
+    """``(id, h, h2, node, check, fp, wide, size, low)`` of every row.
 
-    A hash of the words in order, the fingerprint of the distinct words and that of the shingles, how many
-    distinct shingles there are and the least of their hashes, of which texts ``similarity`` alike share one.
+    Hashes of the text and of its words in order, the fingerprint of the distinct words and that of the shingles,
+    how many distinct shingles there are and the least of their hashes, of which texts ``similarity`` alike share one.
     """
+    names = ["id", "h", "h2", "node", "check", "fp", "wide", "size", "low"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, sizes, lows = [], [], []
-            for text in texts(batch.column(1)):
+            nodes, prints, sizes, lows = [], [], [], []
+            for text in texts(batch.column(3)):
                 words = text.lower().split()
                 one = np.fromiter({xxhash.xxh64_intdigest(w, SEED) for w in set(words)}, np.uint64)
                 wide = np.array(shingle_hashes(text, width), np.uint64)
-                pair = majority(np.concatenate([one, wide]), np.array([len(one), len(wide)]))
+                prints.append(majority(np.concatenate([one, wide]), np.array([len(one), len(wide)])))
                 own = np.unique(wide)
                 sizes.append(len(own))
                 lows.append(own[: len(own) - ceil(similarity * len(own) - 1e-9) + 1].view(np.int64))
-                rows.append((np.uint64(xxhash.xxh64_intdigest(b" ".join(words), SEED)), *pair))
-            found = np.array(rows, np.uint64).reshape(-1, 3).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(found[:, i])) for i in range(3)), pa.array(sizes, pa.int32()), pa.array(lows, pa.list_(pa.int64()))], ["id", "node", "fp", "wide", "size", "low"])
+                nodes.append(_node(words))
+            pair = np.array(prints, np.uint64).reshape(-1, 2).view(np.int64)
+            key = np.array(nodes, np.int64).reshape(-1, 2)
+            columns = [*(np.ascontiguousarray(x[:, i]) for x in (key, pair) for i in (0, 1))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *map(pa.array, columns), pa.array(sizes, pa.int32()), pa.array(lows, pa.list_(pa.int64()))], names)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, node bigint, fp bigint, wide bigint, size int, low array<bigint>")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).select("id", *_hashes(), "text")
+    return rows.mapInArrow(run, f"id {kind}, h bigint, h2 bigint, node bigint, check bigint, fp bigint, wide bigint, size int, low array<bigint>")
+
 
+def _similar(pairs: DataFrame, docs: DataFrame, prints: DataFrame, text_col: str, width: int, similarity: float) -> DataFrame:
+    """Of ``pairs(a, b)`` of nodes those whose shingle sets have a Jaccard similarity of ``similarity`` or more.
 
-def _similar(pairs: DataFrame, docs: DataFrame, prints: DataFrame, text_col: str, id_col: str, width: int, similarity: float) -> DataFrame:
-    """Of ``pairs(a, b)`` of nodes those whose shingle sets have a Jaccard similarity of ``similarity`` or more."""
+    A text is found by its hash, once for each node, whatever ids it stands under.
+    """
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    owners = prints.join(nodes, "node").groupBy("node").agg(F.min("id").alias("id"))  # one document for each
-    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(owners, "id")
+    owners = maybe_in(prints.select("node", "h"), nodes, "node").join(nodes, "node").groupBy("node").agg(F.min("h").alias("h"))
+    owners, path = stage(owners, "owners")
+    found = maybe_in(docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).select(_hashes()[0], "text"), owners, "h").dropDuplicates(["h"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sets = [], []
-            for node, text in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
-                if node == int(np.uint64(xxhash.xxh64_intdigest(b" ".join(text.lower().split()), SEED)).view(np.int64)):  # ids may repeat
-                    nodes.append(node)
-                    sets.append(np.unique(np.array(shingle_hashes(text, width), np.uint64)).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "s"])
-
-    sets, _ = stage(chosen.select("node", "text").mapInArrow(run, "node bigint, s array<bigint>").dropDuplicates(["node"]), "shingles")
+            sets = [np.unique(np.array(shingle_hashes(text, width), np.uint64)).view(np.int64) for text in texts(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "s"])
+
+    sets, sets_path = stage(found.join(owners, "h").select("node", "text").mapInArrow(run, "node bigint, s array<bigint>"), "shingles")
+    drop(docs.sparkSession, path)
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
-    return both.where(shared >= F.lit(similarity) * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+    links, _ = stage(both.where(shared >= F.lit(similarity) * (F.size("sa") + F.size("sb") - shared)).select("a", "b"), "links")
+    drop(docs.sparkSession, sets_path)
+    return links
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``(id, node, component)`` of every row: texts whose shingle sets are ``similarity`` alike, linked.
+    """``(id, h, h2, node, component, alone)`` of every row: texts whose shingle sets are ``similarity`` alike, linked.
 
     The first candidates come from SimHash (distinct words within ``WORD_RADIUS`` bits, shingles within
     ``SHINGLE_RADIUS``), of which a spanning forest is verified. Then texts meet on the least of their shingle
-    hashes (a prefix filter, complete for ``similarity``): under each, those outside the component that dominates
-    it are held against those of other components, so that a large group of near copies never becomes all its
-    pairs. Every link is verified. Texts of equal words are one node; ids should be unique.
+    hashes (a prefix filter, complete for ``similarity``); see ``linked``. Every link is verified. Texts of equal
+    words are one node; ``alone`` rows have a text that no other row equals or is linked to.
     """
+    spark = docs.sparkSession
     prints, _ = stage(text_fingerprints(docs, id_col, text_col, width, similarity), "prints")
-    nodes, _ = stage(prints.groupBy("node").agg(*[F.first(c).alias(c) for c in ("fp", "wide", "size", "low")]), "nodes")  # the same for equal words
+    # of texts that share 64 bits only one is known further; the others differ in ``check`` and stay alone
+    nodes, nodes_path = stage(prints.groupBy("node").agg(F.count("*").alias("n"), F.min("check").alias("check"), *[F.first(c).alias(c) for c in ("fp", "wide")]), "nodes")
 
     def near(wide: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
         return lambda a, b: np.bitwise_count((wide[a] ^ wide[b]).view(np.uint64)) <= SHINGLE_RADIUS
@@ -382,36 +403,38 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
         a, b = _compare(fp.view(np.uint64), side, unit, WORD_RADIUS, near(wide))
         return [node[a], node[b]]
 
+    def verified(pairs: DataFrame) -> DataFrame:
+        return _similar(pairs, docs, prints, text_col, width, similarity)
+
     pair = "a bigint, b bigint"
-    first = _units(nodes, WORD_RADIUS, CHUNK, "node", "wide").mapInArrow(lambda x: _over_units(x, spanning, ["a", "b"]), pair).distinct()
-    first, _ = stage(first, "candidates")
-    comps = connected_components(_similar(first, docs, prints, text_col, id_col, width, similarity))
-    heads = comps.groupBy("component").agg((F.count("*") + 1).alias("members"))
-    member = comps.join(heads, "component").unionByName(heads.withColumn("node", F.col("component")))
-    # one exchange serves all that follows
-    met = nodes.join(member, "node", "left").select("node", "size", "component", "members", F.explode("low").alias("v")).repartition("v")
-    met = met.select("v", "node", "size", F.coalesce("component", "node").alias("comp"), F.coalesce("members", F.lit(1)).alias("members"))
-    ruling = met.groupBy("v").agg(F.max_by("comp", "members").alias("ruler"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("v", "ruler")
-    outside = met.join(ruling, "v").where("comp <> ruler").select("v", "ruler", F.col("node").alias("a"), F.col("size").alias("na"), F.col("comp").alias("ca"))
-    inside = met.select("v", F.col("node").alias("b"), F.col("size").alias("nb"), F.col("comp").alias("cb"))
-    more = outside.join(inside, "v").where("ca <> cb AND (ca < cb OR cb = ruler)").where(F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb") - 1e-9)
-    more, _ = stage(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
-    links2 = _similar(more, docs, prints, text_col, id_col, width, similarity)
-    final = connected_components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links2)).withColumnRenamed("node", "n")
-    return prints.join(final, F.col("node") == F.col("n"), "left").select("id", "node", F.coalesce("component", "node").alias("component"))
+    first = _units(nodes.select("node", "fp", "wide"), WORD_RADIUS, CHUNK, "node", "wide").mapInArrow(lambda x: _over_units(x, spanning, ["a", "b"]), pair).distinct()
+    first, path = stage(first, "candidates")
+    comps = connected_components(verified(first))
+    blocks = prints.groupBy("node").agg(F.first("size").alias("size"), F.first("low").alias("low"))
+    blocks = blocks.select(F.col("node").alias("key"), "size", F.lit(1).alias("need"), F.explode("low").alias("v"))
+    met, met_path = stage(meeting(blocks), "met")
+    final = linked(met, verified, similarity, comps=comps).withColumnRenamed("node", "n_node")
+    drop(spark, path, met_path)
+    final = final.unionByName(final.select(F.col("component").alias("n_node"), "component").distinct())
+    known = nodes.select(F.col("node").alias("k"), F.col("check").alias("c"), "n").join(final, F.col("k") == F.col("n_node"), "left").where("n > 1 OR component IS NOT NULL").select("k", "c", "component")
+    named = prints.drop("low").join(known, (F.col("node") == F.col("k")) & (F.col("check") == F.col("c")), "left")
+    return named.select("id", "h", "h2", "node", F.coalesce("component", "node").alias("component"), F.col("k").isNull().alias("alone"))
 
 
 def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``docs`` without near copies: of each group the row of the least id stays, rows alike in id and words once."""
-    found, _ = stage(groups(docs, id_col, text_col, width, similarity), "groups")
-    place = F.struct(F.col("id").isNull().alias("no_id"), "id", "node")
-    kept = found.groupBy("component").agg(F.min(place).alias("w")).select(F.col("w.id").alias("_id"), F.col("w.node").alias("_node"))
-    keyed = docs.select("*", _node_of(F.col(text_col)).alias("_own"))
-    both = keyed.join(kept, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_node")))
-    return both.dropDuplicates([id_col, "_own"]).select(*docs.columns)
-
-
-def _node_of(text: Column) -> Column:
-    """The hash of the words in order, as ``text_fingerprints`` makes it."""
-    flat = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\x0b\x0c\r", "abcdefghijklmnopqrstuvwxyz     ")
-    return F.xxhash64(F.array_join(F.array_remove(F.split(flat, " "), ""), " "))
+    """``docs`` without near copies: of each group the row of the least id stays, rows alike in id and text once.
+
+    Null ids come last. Texts that no other equals or is linked to stay, and mostly pass by the join.
+    """
+    found, path = stage(groups(docs, id_col, text_col, width, similarity).where("NOT alone").drop("alone"), "groups")
+    own = F.struct(F.col("id").isNull().alias("no_id"), "id", "h", "h2")
+    firsts = found.groupBy("component").agg(F.min(own).alias("w")).select("w.id", "w.h", "w.h2", F.lit(True).alias("first"))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("id", "h", "h2")]
+    marked = found.select("id", "h", "h2").distinct().alias("a").join(firsts.alias("b"), same[0] & same[1] & same[2], "left").select("a.*", F.coalesce("first", F.lit(False)).alias("first"))
+    marked, _ = stage(marked, "marked")
+    drop(docs.sparkSession, path)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(row, F.col(id_col).alias("id"), F.col(text_col).alias("text")).select("row", "id", *_hashes())
+    maybe, surely_not = split_by(rows, marked, "h")
+    judged = maybe.alias("a").join(marked.alias("b"), same[0] & same[1] & same[2], "left").where("b.first IS NULL OR b.first").select("a.*")
+    return judged.dropDuplicates(["id", "h", "h2"]).select("row").unionByName(surely_not.select("row")).select("row.*")

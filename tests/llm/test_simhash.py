@@ -127,3 +127,38 @@ def test_lengthened_and_cut_copies_are_found_at_every_length(docs_of):
     kept = {r["doc_id"] for r in S.first_of_groups(docs_of(texts)).collect()}
     gone = {i + 1 for i in range(0, len(texts), 2) if jaccard(texts[i], texts[i + 1]) >= 0.8}
     assert len(gone) > 40 and kept == set(range(len(texts))) - gone
+
+
+def test_scattered_edits_null_ids_and_clashing_names(spark):
+    rng = random.Random(15)
+    texts, ids = [], []
+    for k in range(40):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(40, 250))]
+        b = list(w)
+        for at in rng.sample(range(len(w)), len(w) // 60 + 1):
+            b[at] = "edited"
+        texts += [" ".join(w), " ".join(b)]
+        ids += [None, None] if k % 2 else [2 * k, 2 * k + 1]
+    names = ["_own", "row", "id", "h", "h2", "node", "component", "first"]
+    docs = spark.createDataFrame([(i, t, *range(len(names))) for i, t in zip(ids, texts, strict=True)], "doc_id bigint, text string, " + ", ".join(f"{c} int" for c in names))
+    kept = [r["text"] for r in S.first_of_groups(docs).collect()]
+    linked = [jaccard(texts[i], texts[i + 1]) >= 0.8 for i in range(0, len(texts), 2)]
+    assert sum(linked) > 20 and len(kept) == len(texts) - sum(linked)
+    for k, near in enumerate(linked):
+        pair = [t in kept for t in texts[2 * k : 2 * k + 2]]
+        assert pair.count(True) == 2 - near and (ids[2 * k] is None or pair[0])
+    assert S.first_of_groups(docs).columns == docs.columns
+
+
+def test_texts_of_one_template_stay(docs_of):
+    rng = random.Random(16)
+    body = [f"t{i}" for i in range(60)]
+    texts = [" ".join([*body, *(f"own{rng.randrange(10**6)}" for _ in range(40))]) for _ in range(60)]
+    assert S.first_of_groups(docs_of(texts)).count() == 60
+
+
+def test_repeated_rows_and_empty_tables_of_fingerprints(docs_of):
+    df = docs_of(["a b c d e", "a b c d e", None, "", None], ids=[7, 7, None, 3, 2])
+    got = sorted((r["id"] or -1, r["component_id"]) for r in S.near_duplicates(df).collect())
+    assert got == [(-1, 2), (2, 2), (3, 2), (7, 7), (7, 7)]
+    assert S.near_duplicates(df.limit(0)).count() == 0
