@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words are runs of anything but these bytes; ``bytes.split()`` splits on the same set.
@@ -109,14 +109,18 @@ def meeting(blocks: DataFrame) -> DataFrame:
 
 
 def linked(
-    met: DataFrame, verified: Callable[[DataFrame], DataFrame], similarity: float, shared: int = 1, comps: DataFrame | None = None
+    met: DataFrame, verified: Callable[[DataFrame], DataFrame], similarity: float, shared: int = 1, comps: DataFrame | None = None,
+    facts: DataFrame | None = None, fits: Callable[[Callable[[str], Column], Callable[[str], Column]], Column] | None = None,
 ) -> DataFrame:
     """Components ``(node, component)`` of all verified links between members that meet.
 
     ``met(v, key, size, need)``: ``meeting`` blocks; a pair is a candidate if it
     meets under ``need`` of them (of two members the lesser) and the smaller size
     is ``similarity`` of the larger or more. ``verified`` cuts candidates ``(a, b)``
-    down to links. ``comps``: components known before.
+    down to links. ``comps``: components known before. ``facts(key, ...)`` with
+    ``fits`` (of both members' columns, "size" included) rejects pairs that cannot
+    link before they leave the block, so that members with a common part but little
+    else in common never become pairs.
 
     So that a large group never becomes all its pairs, members are first held
     against one chief of each block. Then, within each block, those outside the
@@ -132,13 +136,17 @@ def linked(
             named = met.join(member, met["key"] == member["node"], "left").drop("node")
             named = named.withColumn("comp", F.coalesce("component", "key")).withColumn("members", F.coalesce("members", F.lit(1))).drop("component")
             chief = F.max_by("key", "members")
+        also = [c for c in facts.columns if c != "key"] if whole and facts is not None else []
+        named = named.join(facts, "key") if also else named
         named = named.repartition("v")  # one exchange serves all that follows
         ruler = chief if comps is None else F.max_by("comp", "members")
         ruling = named.groupBy("v").agg(ruler.alias("ruler"), chief.alias("chief"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").drop("c0", "c1")
-        outside = named.join(ruling, "v").where("comp <> ruler").select("v", "ruler", "chief", F.col("key").alias("a"), F.col("size").alias("na"), F.col("need").alias("da"), F.col("comp").alias("ca"))
+        outside = named.join(ruling, "v").where("comp <> ruler").select("v", "ruler", "chief", F.col("key").alias("a"), F.col("size").alias("na"), F.col("need").alias("da"), F.col("comp").alias("ca"), *[F.col(c).alias(f"{c}_a") for c in also])
         if whole:
-            inside = named.select("v", F.col("key").alias("b"), F.col("size").alias("nb"), F.col("need").alias("db"), F.col("comp").alias("cb"))
+            inside = named.select("v", F.col("key").alias("b"), F.col("size").alias("nb"), F.col("need").alias("db"), F.col("comp").alias("cb"), *[F.col(c).alias(f"{c}_b") for c in also])
             pairs = outside.join(inside, "v").where("ca <> cb AND (ca < cb OR cb = ruler)").where(F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb") - 1e-9)
+            if also:
+                pairs = pairs.where(fits(lambda c: F.col("na" if c == "size" else f"{c}_a"), lambda c: F.col("nb" if c == "size" else f"{c}_b")))
             need = F.least("da", "db")
         else:
             pairs, need = outside.withColumn("b", F.col("chief")), F.col("da")

@@ -316,6 +316,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 #: Fingerprints of distinct words within this many bits and of shingles within that many make the first candidates.
 WORD_RADIUS, SHINGLE_RADIUS = 8, 20
+#: Classes of shingles whose parities bound how many two texts do not share.
+ODD = 512
 
 
 def _hashes(text: str = "text") -> list[Column]:
@@ -330,16 +332,17 @@ def _node(words: list[bytes]) -> tuple[int, int]:
 
 
 def text_fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> DataFrame:
-    """``(id, h, h2, node, check, fp, wide, size, low)`` of every row.
+    """``(id, h, h2, node, check, fp, wide, size, odd, low)`` of every row.
 
     Hashes of the text and of its words in order, the fingerprint of the distinct words and that of the shingles,
-    how many distinct shingles there are and the least of their hashes, of which texts ``similarity`` alike share one.
+    how many distinct shingles there are, which of ``ODD`` classes hold an odd number of them, and the least of their
+    hashes, of which texts ``similarity`` alike share one.
     """
-    names = ["id", "h", "h2", "node", "check", "fp", "wide", "size", "low"]
+    names = ["id", "h", "h2", "node", "check", "fp", "wide", "size", "odd", "low"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, prints, sizes, lows = [], [], [], []
+            nodes, prints, sizes, odds, lows = [], [], [], [], []
             for text in texts(batch.column(3)):
                 words = text.lower().split()
                 one = np.fromiter({xxhash.xxh64_intdigest(w, SEED) for w in set(words)}, np.uint64)
@@ -347,16 +350,17 @@ def text_fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int, s
                 prints.append(majority(np.concatenate([one, wide]), np.array([len(one), len(wide)])))
                 own = np.unique(wide)
                 sizes.append(len(own))
+                odds.append(np.packbits(np.bincount((own % np.uint64(ODD)).astype(np.int64), minlength=ODD) & 1, bitorder="little").view(np.int64))
                 lows.append(own[: len(own) - ceil(similarity * len(own) - 1e-9) + 1].view(np.int64))
                 nodes.append(_node(words))
             pair = np.array(prints, np.uint64).reshape(-1, 2).view(np.int64)
             key = np.array(nodes, np.int64).reshape(-1, 2)
             columns = [*(np.ascontiguousarray(x[:, i]) for x in (key, pair) for i in (0, 1))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *map(pa.array, columns), pa.array(sizes, pa.int32()), pa.array(lows, pa.list_(pa.int64()))], names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *map(pa.array, columns), pa.array(sizes, pa.int32()), pa.array(odds, pa.list_(pa.int64())), pa.array(lows, pa.list_(pa.int64()))], names)
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).select("id", *_hashes(), "text")
-    return rows.mapInArrow(run, f"id {kind}, h bigint, h2 bigint, node bigint, check bigint, fp bigint, wide bigint, size int, low array<bigint>")
+    return rows.mapInArrow(run, f"id {kind}, h bigint, h2 bigint, node bigint, check bigint, fp bigint, wide bigint, size int, odd array<bigint>, low array<bigint>")
 
 
 def _similar(pairs: DataFrame, docs: DataFrame, prints: DataFrame, text_col: str, width: int, similarity: float) -> DataFrame:
@@ -394,7 +398,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     spark = docs.sparkSession
     prints, _ = stage(text_fingerprints(docs, id_col, text_col, width, similarity), "prints")
     # of texts that share 64 bits only one is known further; the others differ in ``check`` and stay alone
-    nodes, nodes_path = stage(prints.groupBy("node").agg(F.count("*").alias("n"), F.min("check").alias("check"), *[F.first(c).alias(c) for c in ("fp", "wide")]), "nodes")
+    nodes, nodes_path = stage(prints.groupBy("node").agg(F.count("*").alias("n"), F.min("check").alias("check"), *[F.first(c).alias(c) for c in ("fp", "wide", "odd")]), "nodes")
 
     def near(wide: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
         return lambda a, b: np.bitwise_count((wide[a] ^ wide[b]).view(np.uint64)) <= SHINGLE_RADIUS
@@ -413,11 +417,17 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     blocks = prints.groupBy("node").agg(F.first("size").alias("size"), F.first("low").alias("low"))
     blocks = blocks.select(F.col("node").alias("key"), "size", F.lit(1).alias("need"), F.explode("low").alias("v"))
     met, met_path = stage(meeting(blocks), "met")
-    final = linked(met, verified, similarity, comps=comps).withColumnRenamed("node", "n_node")
+
+    def fits(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
+        differing = sum((F.bit_count(F.get(a("odd"), F.lit(i)).bitwiseXOR(F.get(b("odd"), F.lit(i)))) for i in range(1, ODD // 64)), F.bit_count(F.get(a("odd"), F.lit(0)).bitwiseXOR(F.get(b("odd"), F.lit(0)))))
+        return differing <= F.floor((1 - similarity) / (1 + similarity) * (a("size") + b("size")) + 1e-9)  # as many shingles at most are in one text only
+
+    facts = nodes.select(F.col("node").alias("key"), "odd")
+    final = linked(met, verified, similarity, comps=comps, facts=facts, fits=fits).withColumnRenamed("node", "n_node")
     drop(spark, path, met_path)
     final = final.unionByName(final.select(F.col("component").alias("n_node"), "component").distinct())
     known = nodes.select(F.col("node").alias("k"), F.col("check").alias("c"), "n").join(final, F.col("k") == F.col("n_node"), "left").where("n > 1 OR component IS NOT NULL").select("k", "c", "component")
-    named = prints.drop("low").join(known, (F.col("node") == F.col("k")) & (F.col("check") == F.col("c")), "left")
+    named = prints.drop("low", "odd").join(known, (F.col("node") == F.col("k")) & (F.col("check") == F.col("c")), "left")
     return named.select("id", "h", "h2", "node", F.coalesce("component", "node").alias("component"), F.col("k").isNull().alias("alone"))
 
 
