@@ -80,13 +80,9 @@ def envelope(x: np.ndarray) -> np.ndarray:
     return np.abs(np.fft.ifft(np.fft.fft(x) * gain))
 
 
-def wobble(f0: np.ndarray, hop_rate: float) -> tuple[float, float]:
-    """Frequency and magnitude of the strongest modulation of a pitch track, DC left out."""
-    if len(f0) < 3:
-        return 0.0, 0.0
-    power = np.abs(np.fft.rfft(f0 - np.mean(f0)))
-    k = int(power[1:].argmax()) + 1
-    return float(k * hop_rate / len(f0)), float(power[k])
+def wobble(x: np.ndarray) -> int:
+    """Number of the strongest frequency of a track, DC left out; 0 if there is none."""
+    return int(np.abs(np.fft.rfft(x))[1:].argmax()) + 1 if len(x) > 1 else 0
 
 
 def moments(x: np.ndarray) -> tuple[float, float, float]:
@@ -95,22 +91,26 @@ def moments(x: np.ndarray) -> tuple[float, float, float]:
     return float((c**2).mean()), float((c**3).mean()), float((c**4).mean())
 
 
-def harmonic_energies(x: np.ndarray, rate: float, f0: float, n: int = 12, size: int = 2048, hop: int = 512, last: bool = True) -> np.ndarray:
-    """Energy at the first ``n`` harmonics of each frame, (n, frames); zeros without a pitch.
+def harmonic_energies(x: np.ndarray, rate: float, f0: float, n: int = 12, size: int = 2048, hop: int = 512, last: bool = False) -> np.ndarray:
+    """Spectral magnitude nearest to each of the first ``n`` harmonics, (frames, n); one row of zeros for a signal shorter than a frame.
 
-    ``last`` tells whether a frame that ends exactly with the signal counts.
+    ``last`` tells whether a frame that ends exactly with the signal counts. Harmonics beyond half the rate are 0.
     """
-    frames = framed(x, size, hop)
+    frames = framed(np.asarray(x, float), size, hop)
     if not last and len(x) >= size and (len(x) - size) % hop == 0:
         frames = frames[:-1]
-    if f0 <= 0 or not len(frames):
-        return np.zeros((n, len(frames)))
-    power = np.abs(np.fft.rfft(frames * hann(size))) ** 2
-    bins = np.round(f0 * np.arange(1, n + 1) * size / rate).astype(int)
-    out = np.zeros((n, len(frames)))
-    ok = bins < power.shape[1]
-    out[ok] = power[:, bins[ok]].T
-    return out
+    if not len(frames):
+        return np.zeros((1, n))
+    spectrum = np.abs(np.fft.rfft(frames * np.hanning(size)))  # the symmetric window
+    at = f0 * np.arange(1, n + 1) * size / rate
+    bins = np.ceil(at - 0.5).astype(int)  # half way between two bins the lower one is nearest
+    return np.where(at > size // 2, 0.0, spectrum[:, np.minimum(bins, size // 2)])
+
+
+def trends(shares: np.ndarray) -> np.ndarray:
+    """Least-squares slope of each column over the rows; 0 for a single row."""
+    t = np.arange(len(shares)) - (len(shares) - 1) / 2
+    return t @ shares / (t @ t) if len(shares) > 1 else np.zeros(shares.shape[1])
 
 
 def pitch(x: np.ndarray, rate: float, low: float = 75.0, high: float = 600.0, size: int = 2048, hop: int = 512, least: float = 0.3) -> np.ndarray:
@@ -201,3 +201,77 @@ def byte_windows(x: np.ndarray, size: int = 224, hop: int = 112) -> np.ndarray:
     axes = tuple(range(1, w.ndim))
     low, high = w.min(axis=axes, keepdims=True), w.max(axis=axes, keepdims=True)
     return ((w - low) / np.where(high > low, high - low, 1) * 255).astype(np.uint8)
+
+
+def mel_slaney(f: np.ndarray | float) -> np.ndarray:
+    """The auditory-toolbox scale: linear (3 / 200 mel a hertz) below 1000 Hz, logarithmic (27 steps for a factor of 6.4) above."""
+    f = np.asarray(f, float)
+    return np.where(f < 1000, f * 3 / 200, 15 + np.log(np.maximum(f, 1e-9) / 1000) * 27 / np.log(6.4))
+
+
+def mel_power(x: np.ndarray, rate: float, bands: int = 128, fft: int = 2048, hop: int = 512) -> np.ndarray:
+    """Mel power spectrogram (bands, frames) of centred frames, zeros beyond the ends; triangles of unit area on the auditory-toolbox scale."""
+    wide = np.pad(np.asarray(x, float), fft // 2)
+    power = np.abs(np.fft.rfft(framed(wide, fft, hop) * hann(fft))) ** 2
+    hertz = np.linspace(0, rate / 2, fft // 2 + 1)
+    grid = np.linspace(0, rate / 2, 200_001)
+    edges = np.interp(np.linspace(0, mel_slaney(rate / 2), bands + 2), mel_slaney(grid), grid)
+    left, mid, right = (edges[k : k + bands, None] for k in range(3))
+    tents = np.maximum(0, np.minimum((hertz - left) / (mid - left), (right - hertz) / (right - mid))) * 2 / (right - left)
+    return tents @ power.T
+
+
+def decibels(power: np.ndarray, floor: float = 1e-10, top: float = 80.0) -> np.ndarray:
+    """Power in dB below its maximum, cut ``top`` dB below it."""
+    if not power.size:
+        return power
+    loud = 10 * np.log10(np.maximum(power, floor))
+    out = loud - 10 * np.log10(max(float(power.max()), floor))
+    return np.maximum(out, out.max() - top)
+
+
+def fbank(x: np.ndarray, rate: float, bands: int = 128, window: float = 0.025, hop: float = 0.010, low: float = 20.0, emphasis: float = 0.97) -> np.ndarray:
+    """Log filterbank (frames, bands) as speech toolkits make it: whole frames, mean removed, pre-emphasis, symmetric Hann, power, HTK mel triangles.
+
+    25 / 10 ms and 10 / 5 ms are the two settings in use.
+    """
+    size, step = int(rate * window), int(rate * hop)
+    frames = framed(np.asarray(x, float), size, step)
+    frames = frames - frames.mean(axis=1, keepdims=True) if len(frames) else frames
+    frames = frames - emphasis * np.concatenate([frames[:, :1], frames[:, :-1]], axis=1)
+    fft = 1 << (size - 1).bit_length()
+    power = np.abs(np.fft.rfft(frames * np.hanning(size), fft))[:, : fft // 2] ** 2
+    at, edges = mel(np.arange(fft // 2) * rate / fft), np.linspace(mel(low), mel(rate / 2), bands + 2)
+    left, mid, right = (edges[k : k + bands, None] for k in range(3))
+    tents = np.maximum(0, np.minimum((at - left) / (mid - left), (right - at) / (right - mid)))
+    return np.log(np.maximum(power @ tents.T, np.finfo(np.float32).eps))
+
+
+def normalised_windows(m: np.ndarray, size: int = 1024, hop: int = 512, mean: float = -4.2677393, std: float = 4.5689974) -> np.ndarray:
+    """Windows (n, size, bands) of a filterbank, a shorter one padded with zeros, less the encoder's fixed mean and over its fixed deviation; the rest is left out."""
+    if len(m) < size:
+        m = np.pad(m, ((0, size - len(m)), (0, 0)))
+    w = np.lib.stride_tricks.sliding_window_view(m, size, axis=0)[::hop].transpose(0, 2, 1)
+    return (w - mean) / std
+
+
+def examples(x: np.ndarray, rate: float, target: float = 16000.0, frames: int = 96) -> np.ndarray:
+    """Waveform to (n, frames, bands) log-mel patches without overlap: resampled, 0.96 s each, the rest left out."""
+    m = log_mel(resample(np.asarray(x, float), rate, target) if rate != target else np.asarray(x, float), target)
+    return m[: len(m) // frames * frames].reshape(-1, frames, m.shape[1])
+
+
+def loud_pieces(x: np.ndarray, rate: float, least: float = 10.0, floor: float = -60.0, keep: float = 0.5, step: float = 0.01) -> list[tuple[int, int]]:
+    """Sample ranges between silences: ``least`` seconds or more under ``floor`` dBFS (by steps), ``keep`` seconds of silence left on at either end."""
+    size = max(1, int(rate * step))
+    n = -(-len(x) // size)
+    power = np.add.reduceat(np.asarray(x, float) ** 2, np.arange(n) * size) / np.diff(np.r_[np.arange(n) * size, len(x)]) if n else np.zeros(0)
+    quiet = np.r_[False, 10 * np.log10(power + 1e-20) < floor, False]
+    edge = np.flatnonzero(quiet[1:] != quiet[:-1])
+    silences = [(a, b) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True) if (b - a) * step >= least - 1e-9]
+    out, at, pad = [], 0, int(round(keep / step))
+    for a, b in [*silences, (n, n)]:
+        if a > at:
+            out.append((max(at - pad, 0) * size, min(min(a + pad, n) * size, len(x))))
+        at = b
+    return out

@@ -50,3 +50,23 @@ def softmax(x: Column) -> Column:
 
 def jittered(x: Column, seed: int, scale: float = 1e-6) -> Column:
     return x + scale * F.randn(seed)
+
+
+def z_constant(x: Column, mean: float = -4.2677393, std: float = 4.5689974) -> Column:
+    """Normalised by fixed values, those of the audio encoder's training data."""
+    return (x - mean) / std
+
+
+def or_zeros(x: Column, width: int) -> Column:
+    """The array, or ``width`` zeros where it is null or empty."""
+    return F.when(F.coalesce(F.size(x), F.lit(0)) > 0, x).otherwise(F.array_repeat(F.lit(0.0), width))
+
+
+def head_labels(logits: Column, threshold: float = 0.0) -> Column:
+    """Which of several yes-no heads fire: logit over ``threshold`` (0 is a probability of one half)."""
+    return F.transform(logits, lambda z: z > threshold)
+
+
+def head_class(logits: Column) -> Column:
+    """The class of a counted head, from 1: the first greatest logit."""
+    return F.array_position(logits, F.array_max(logits)).cast("int")

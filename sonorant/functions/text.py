@@ -51,3 +51,8 @@ def numbered(prefix: str, i: Column, width: int = 5) -> Column:
 def contains_any(label: Column, words: list[str]) -> Column:
     """Whether the label holds one of the words anywhere."""
     return F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(label, w))
+
+
+def capitalised(s: Column) -> Column:
+    """First character in upper case, the others in lower case."""
+    return F.concat(F.upper(F.substring(s, 1, 1)), F.lower(F.substring(s, F.lit(2), F.length(s))))

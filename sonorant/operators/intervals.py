@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,34 +36,81 @@ def band_join(left: DataFrame, right: DataFrame, key: str, at_left: str, at_righ
     )
 
 
-def match_events(reference: DataFrame, system: DataFrame, key: str = "filename", collar: float = 0.75, share: float = 0.5) -> DataFrame:
-    """One-to-one matches per file: onset within ``collar``, offset within max(collar, ``share`` of the reference's length).
+def match_events(reference: DataFrame, system: DataFrame, keys: list[str] | str = "filename", collar: float = 0.75, share: float = 0.5) -> DataFrame:
+    """One-to-one matches: onset within ``collar``, offset within max(collar, ``share`` of the reference's length); as many as can be.
 
-    Candidates come from the band join; the assignment is greedy in onset order, on the candidates of one file at a time.
+    ``keys``: the file, and the label if labels must agree. Every row is an event of
+    its own, equal rows too. Events of a key are cut into islands wherever two
+    onsets in a row are more than ``collar`` apart, as no match crosses such a gap;
+    each island is matched by itself (augmenting paths).
     """
-    r = reference.select(key, F.col("onset").alias("r_on"), F.col("offset").alias("r_off"))
-    s = system.select(key, F.col("onset").alias("s_on"), F.col("offset").alias("s_off"))
-    slack = F.greatest(F.lit(collar), share * (F.col("r_off") - F.col("r_on")))
-    pairs = band_join(r, s, key, "r_on", "s_on", collar).where(F.abs(F.col("r_off") - F.col("s_off")) <= slack)
+    keys = [keys] if isinstance(keys, str) else keys
+    side = lambda df, s: df.select(*keys, "onset", "offset", F.lit(s).alias("_side"))
+    w = Window.partitionBy(*keys).orderBy("onset")
+    gap = F.coalesce(F.col("onset") - F.lag("onset").over(w) > collar, F.lit(True))
+    events = side(reference, 0).unionByName(side(system, 1)).withColumn("_new", gap.cast("int"))
+    events = events.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    both = events.groupBy(*keys, "_island").agg(F.min("_side").alias("a"), F.max("_side").alias("b")).where("a <> b").select(*keys, "_island")
 
     def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        used_r, used_s, keep = set(), set(), []
-        pdf = pdf.sort_values(["r_on", "r_off", "s_on", "s_off"])
-        for row in pdf.itertuples(index=False):
-            a, b = (row.r_on, row.r_off), (row.s_on, row.s_off)
-            if a not in used_r and b not in used_s:
-                used_r.add(a)
-                used_s.add(b)
-                keep.append(row)
-        return pd.DataFrame(keep, columns=pdf.columns)
-
-    return pairs.groupBy(key).applyInPandas(assign, pairs.schema)
-
-
-def event_metrics(reference: DataFrame, system: DataFrame, key: str = "filename", collar: float = 0.75, share: float = 0.5) -> DataFrame:
-    """tp, fp, fn, precision, recall, F and error rate over files that the reference has."""
+        pdf = pdf.sort_values(["onset", "offset"])
+        r, s = pdf[pdf["_side"] == 0], pdf[pdf["_side"] == 1]
+        a, b = assignment(r["onset"].to_numpy(), r["offset"].to_numpy(), s["onset"].to_numpy(), s["offset"].to_numpy(), collar, share)
+        out = r[keys].iloc[a].copy()
+        return out.assign(r_on=r["onset"].to_numpy()[a], r_off=r["offset"].to_numpy()[a], s_on=s["onset"].to_numpy()[b], s_off=s["offset"].to_numpy()[b])
+
+    kinds = ", ".join(f"`{k}` {reference.schema[k].dataType.simpleString()}" for k in keys)
+    return events.join(both, [*keys, "_island"], "left_semi").groupBy(*keys, "_island").applyInPandas(assign, f"{kinds}, r_on double, r_off double, s_on double, s_off double")
+
+
+def assignment(r_on: np.ndarray, r_off: np.ndarray, s_on: np.ndarray, s_off: np.ndarray, collar: float, share: float) -> tuple[list[int], list[int]]:
+    """A largest one-to-one matching between reference and system events sorted by onset, as places."""
+    slack = np.maximum(collar, share * (r_off - r_on))
+    low, high = np.searchsorted(s_on, r_on - collar - 1e-9), np.searchsorted(s_on, r_on + collar + 1e-9, "right")
+    fits = [[j for j in range(a, b) if abs(s_on[j] - r_on[i]) <= collar and abs(s_off[j] - r_off[i]) <= slack[i]] for i, (a, b) in enumerate(zip(low, high, strict=True))]
+    owner: dict[int, int] = {}
+    for start in range(len(r_on)):
+        came, queue, end = {}, [start], None
+        while queue and end is None:  # breadth first to a free system event
+            i = queue.pop(0)
+            for j in fits[i]:
+                if j not in came:
+                    came[j] = i
+                    if j not in owner:
+                        end = j
+                        break
+                    queue.append(owner[j])
+        held = {i: j for j, i in owner.items() if end is not None}
+        while end is not None:
+            i = came[end]
+            before, owner[end] = held.get(i), i
+            end = before
+    pairs = sorted((i, j) for j, i in owner.items())
+    return [i for i, _ in pairs], [j for _, j in pairs]
+
+
+def clip_labels(tiers: DataFrame, clips: DataFrame, keys: list[str], frames: int = 201, hop: float = 0.01) -> DataFrame:
+    """``clips(keys, start)`` with ``labels``: for each of ``frames`` label frames 1 if an interval of the recording covers its time.
+
+    Frame ``f`` stands for ``start + f * hop`` seconds and is covered by intervals that hold it, ends included.
+    A clip without an interval gets zeros. Intervals meet clips in buckets of a clip's length.
+    """
+    length = frames * hop
+    spans = tiers.select(*keys, "onset", "offset").withColumn("_b", F.explode(F.sequence(F.floor(F.col("onset") / length), F.floor(F.col("offset") / length))))
+    wide = clips.withColumn("_b", F.explode(F.array_distinct(F.array(F.floor(F.col("start") / length), F.floor((F.col("start") + length) / length)))))
+    at = lambda name: (F.col(name) - F.col("start")) / hop
+    first, last = F.greatest(F.lit(0), F.ceil(F.round(at("onset"), 6))).cast("int"), F.least(F.lit(frames - 1), F.floor(F.round(at("offset"), 6))).cast("int")
+    hit = wide.join(spans, [*keys, "_b"]).withColumn("_f", first).withColumn("_l", last).where("_f <= _l")
+    covered = hit.withColumn("_at", F.explode(F.sequence("_f", "_l"))).groupBy(*clips.columns).agg(F.collect_set("_at").alias("_on"))  # at most ``frames`` numbers
+    full = clips.join(covered, clips.columns, "left")
+    labels = F.transform(F.sequence(F.lit(0), F.lit(frames - 1)), lambda f: F.coalesce(F.array_contains("_on", f), F.lit(False)).cast("int"))
+    return full.withColumn("labels", labels).drop("_on")
+
+
+def event_metrics(reference: DataFrame, system: DataFrame, key: str = "filename", collar: float = 0.75, share: float = 0.5, label: str | None = None) -> DataFrame:
+    """tp, fp, fn, precision, recall, F and error rate over files that the reference has; events of a ``label`` column must agree in it."""
     known = system.join(reference.select(key).distinct(), key, "left_semi")
-    tp = match_events(reference, known, key, collar, share).agg(F.count("*").alias("tp"))
+    tp = match_events(reference, known, [key, label] if label else key, collar, share).agg(F.count("*").alias("tp"))
     n = reference.agg(F.count("*").alias("n_ref")).crossJoin(known.agg(F.count("*").alias("n_sys"))).crossJoin(tp)  # one row each
     return n.select(
         "tp", (F.col("n_sys") - F.col("tp")).alias("fp"), (F.col("n_ref") - F.col("tp")).alias("fn"),

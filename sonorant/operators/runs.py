@@ -33,3 +33,17 @@ def with_times(df: DataFrame, pad: int, hop: int = 320, rate: int = 32000, pad_h
     """Adds padded ``onset`` and ``offset`` seconds; the onset is clamped at 0, the offset is not clamped."""
     start = F.greatest(F.col("start_f") - (pad if pad_head else 0), F.lit(0))
     return df.select("*", F.round(start * hop / rate, 2).alias("onset"), F.round((F.col("end_f") + pad) * hop / rate, 2).alias("offset"))
+
+
+def split_at_silence(df: DataFrame, key: str, silent: Column, min_frames: int, keep: int) -> DataFrame:
+    """Pieces ``(key, seg, start_f, end_f)`` between silences of ``min_frames`` or more, ``keep`` silent frames left on at either end.
+
+    Where a silence is shorter than twice ``keep`` both neighbours keep it. A key that is all silence gives no piece.
+    """
+    last = df.groupBy(key).agg(F.max("i").alias("_last"))
+    quiet = runs(df, key, silent, min_frames).select(key, F.col("start_f").alias("_s"), F.col("end_f").alias("_e"))
+    by = Window.partitionBy(key).orderBy("_s")
+    edges = quiet.unionByName(last.select(key, (F.col("_last") + 1).alias("_s"), (F.col("_last") + 1).alias("_e")))  # an empty silence after the end
+    loud = edges.join(last, key).withColumn("_from", F.coalesce(F.lag("_e").over(by) + 1, F.lit(0))).where(F.col("_s") > F.col("_from"))
+    out = loud.withColumn("start_f", F.greatest(F.col("_from") - keep, F.lit(0))).withColumn("end_f", F.least(F.col("_s") - 1 + keep, F.col("_last")))
+    return out.select(key, F.row_number().over(by).cast("bigint").alias("seg"), "start_f", "end_f")

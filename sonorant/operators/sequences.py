@@ -51,9 +51,15 @@ def markov1_rollup(df: DataFrame, group: str, by: str) -> DataFrame:
     return both.select(by, "src", "dst", (F.col("w") / F.sum("w").over(Window.partitionBy(by, "src"))).alias("prob"))
 
 
-def length_quantiles(df: DataFrame, group: str) -> DataFrame:
-    """Quartiles and whiskers (1.5 interquartile ranges) of log2 sequence lengths."""
-    n = df.groupBy(group).count().select(F.log2("count").alias("x"))
+def length_quantiles(df: DataFrame, group: str, *by: str) -> DataFrame:
+    """Quartiles and whiskers (1.5 interquartile ranges) of log2 sequence lengths, of all or for each ``by``."""
+    n = df.groupBy(*by, group).count().select(*by, F.log2("count").alias("x"))
+    if by:
+        q = n.groupBy(*by).agg(F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+        q = q.select(*by, *[F.col("q")[i].alias(c) for i, c in enumerate(("q1", "median", "q3"))])
+        reach = 1.5 * (F.col("q3") - F.col("q1"))
+        inside = n.join(q, list(by)).where((F.col("x") >= F.col("q1") - reach) & (F.col("x") <= F.col("q3") + reach))
+        return inside.groupBy(*by, "q1", "median", "q3").agg(F.min("x").alias("low"), F.max("x").alias("high"))
     q = n.agg(F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
     q = q.select(*[F.col("q")[i].alias(c) for i, c in enumerate(("q1", "median", "q3"))])
     inside = n.crossJoin(F.broadcast(q)).where(  # one row

@@ -44,14 +44,22 @@ def local_peaks(df: DataFrame, key: str, x: str, height: float = 0.3) -> DataFra
 
 
 def distant_peaks(peaks: DataFrame, key: str, x: str, distance: int = 5) -> DataFrame:
-    """Peaks at least ``distance`` apart, the higher first; sequential by nature, so one key's peaks at a time."""
+    """Peaks at least ``distance`` apart, the higher first, of equals the later.
+
+    Peaks are cut into islands wherever two in a row are ``distance`` or more apart, as
+    none suppresses another across such a gap; each island is settled by itself.
+    """
+    w = Window.partitionBy(key).orderBy("i")
+    apart = F.coalesce(F.col("i") - F.lag("i").over(w) >= distance, F.lit(True)).cast("int")
+    islands = peaks.withColumn("_new", apart).withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
     def suppress(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("i").reset_index(drop=True)
         at, keep = pdf["i"].to_numpy(), np.ones(len(pdf), bool)
         for j in np.argsort(pdf[x].to_numpy(), kind="stable")[::-1]:
             if keep[j]:
-                keep[np.flatnonzero((np.abs(at - at[j]) < distance) & (np.arange(len(at)) != j))] = False
-        return pdf[keep]
+                low, high = np.searchsorted(at, at[j] - distance, "right"), np.searchsorted(at, at[j] + distance)
+                keep[low:j] = keep[j + 1 : high] = False
+        return pdf[keep].drop(columns="_island")
 
-    return peaks.groupBy(key).applyInPandas(suppress, peaks.schema)
+    return islands.groupBy(key, "_island").applyInPandas(suppress, peaks.schema)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -39,10 +39,73 @@ def centroids(df: DataFrame, label: str, features: str) -> DataFrame:
     return by_place.groupBy(label).agg(F.array_sort(F.collect_list(F.struct("_i", "_m"))).alias("_c")).select(label, F.transform("_c", lambda c: c["_m"]).alias("centroid"))
 
 
+#: Centroids that are broadcast at once; of more, one lot after another.
+MOST_CENTROIDS = 4096
+
+
 def similarities(df: DataFrame, cents: DataFrame, features: str, label: str) -> DataFrame:
-    """Cosine of every vector with every centroid. ``cents`` holds a row for each label and must be small."""
-    c = cents.select(F.col(label).alias("_label"), l2_normalised(F.col("centroid")).alias("_c"))
-    return df.crossJoin(F.broadcast(c)).withColumn("sim", dot(l2_normalised(F.col(features)), F.col("_c"))).drop("_c")
+    """Adds ``sims``: (label, cosine) of every vector with every centroid ``cents(label, centroid)``, in the row, without a join or shuffle.
+
+    A vector is normalised once. Centroids, a row for each label, are broadcast in lots of bounded size.
+    """
+    lots = max(1, -(-cents.count() // MOST_CENTROIDS))
+    c = cents.select(F.struct(F.col(label).alias("label"), l2_normalised(F.col("centroid")).alias("c")).alias("_s"), F.pmod(F.xxhash64(label), F.lit(lots)).alias("_lot"))
+    out = df.withColumn("_x", l2_normalised(F.col(features))).withColumn("sims", F.array().cast(f"array<struct<label:{cents.schema[label].dataType.simpleString()},sim:double>>"))
+    for lot in range(lots):
+        one = c.where(F.col("_lot") == lot).agg(F.sort_array(F.collect_list("_s")).alias("_cs"))  # one row
+        more = F.transform("_cs", lambda s: F.struct(s["label"].alias("label"), dot(F.col("_x"), s["c"]).alias("sim")))
+        out = out.crossJoin(F.broadcast(one)).withColumn("sims", F.concat("sims", more)).drop("_cs")
+    return out.drop("_x")
+
+
+def nearest(sims: Column) -> Column:
+    """Of ``similarities`` the (sim, label) with the greatest cosine, of equals the least label (numbers only)."""
+    best = F.array_max(F.transform(sims, lambda s: F.struct(s["sim"].alias("sim"), (-s["label"]).alias("label"))))
+    return F.struct((-best["label"]).alias("label"), best["sim"].alias("sim"))
+
+
+def limited_centres(df: DataFrame, label: str, features: str, most: int, key: str) -> DataFrame:
+    """Unit centres of at most ``most`` vectors of each label, those of the least ``key``."""
+    w = Window.partitionBy(label).orderBy(key)
+    some = df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most)  # a bounded rank: cut before the shuffle too
+    return centroids(some, label, features).withColumn("centroid", l2_normalised(F.col("centroid")))
+
+
+def super_embedding(left: DataFrame, right: DataFrame, key: str, features: str) -> DataFrame:
+    """Both tables' features standardised and put side by side; a key that is missing on either side, or comes twice, is an error."""
+    a = standardised(left.select(key, F.col(features).alias("_a")), "_a")
+    b = standardised(right.select(key, F.col(features).alias("_b")), "_b")
+    both = a.join(b, key, "full")
+    many = Window.partitionBy(key)
+    bad = F.col("_a").isNull() | F.col("_b").isNull() | (F.count("*").over(many) > 1)
+    checked = both.withColumn("_bad", bad)
+    return checked.select(key, F.when(F.col("_bad"), F.raise_error(F.concat(F.lit("keys do not agree: "), F.col(key).cast("string"))).cast("array<double>")).otherwise(F.concat("_a", "_b")).alias(features))
+
+
+def window_dataset(df: DataFrame, key: str, labels: str, features: str, size: int, hop: int, positive: float = 5.0) -> DataFrame:
+    """``(key, w, x, labels, flag, weight)``: windows of each row's features with its label vector; a row with a label weighs ``positive``, else 1."""
+    flag = F.aggregate(labels, F.lit(0.0), lambda s, x: s + x) > 0
+    rows = df.select(key, F.posexplode(windows(F.col(features), size, hop)).alias("w", "x"), F.col(labels).alias("labels"), flag.alias("flag"))
+    return rows.withColumn("weight", F.when(F.col("flag"), positive).otherwise(1.0))
+
+
+def masked_bce(logits: Column, targets: Column, weight: Column) -> Column:
+    """Weighted binary cross-entropy of one row's logits; null targets are masked. Null if all are."""
+    x = F.zip_with(logits, targets, lambda z, t: F.when(t.isNotNull(), F.greatest(z, F.lit(0.0)) - z * t + F.log1p(F.exp(-F.abs(z)))))
+    known = F.filter(x, lambda v: v.isNotNull())
+    return weight * F.try_divide(F.aggregate(known, F.lit(0.0), lambda s, v: s + v), F.size(known))
+
+
+def contrastive_loss(df: DataFrame, batch: str, key: str, label: str, features: str, temperature: float = 0.1) -> DataFrame:
+    """``(batch, loss)``: supervised contrastive loss within each batch, over unit vectors; with two views for each label it is NT-Xent.
+
+    Rows without a partner of their label count nothing. A batch is bounded by its definition; only batches meet, never the table.
+    """
+    unit = df.select(F.col(batch).alias("b"), F.col(key).alias("k"), F.col(label).alias("l"), l2_normalised(F.col(features)).alias("x"))
+    a, b = unit, unit.select("b", F.col("k").alias("k2"), F.col("l").alias("l2"), F.col("x").alias("y"))
+    pairs = a.join(b, "b").where("k <> k2").withColumn("s", dot(F.col("x"), F.col("y")) / temperature)
+    row = pairs.groupBy("b", "k").agg(F.log(F.sum(F.exp("s"))).alias("all"), F.avg(F.when(F.col("l") == F.col("l2"), F.col("s"))).alias("own"))
+    return row.where("own IS NOT NULL").groupBy(F.col("b").alias(batch)).agg(F.avg(F.col("all") - F.col("own")).alias("loss"))
 
 
 def windows(features: Column, size: int, hop: int, tail: str = "drop", pad: float = 0.0) -> Column:

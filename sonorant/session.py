@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import re
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "sonorant", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -17,5 +20,20 @@ def session(app: str = "sonorant", master: str | None = None, shuffle_partitions
         .config("spark.sql.ansi.enabled", "true")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))  # recordings are large rows
         .getOrCreate()
     )
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed: computed once, so that all that reads it sees the same rows in the same partitions.
+
+    Checkpoints go to ``spark.checkpoint.dir``; a folder of its own only where everything runs in one process.
+    """
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(base or tempfile.mkdtemp(prefix="sonorant-"))
+    return df.checkpoint()

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -25,3 +27,13 @@ def call_sessions(frames: DataFrame, key: str, threshold: float, gap_seconds: fl
     active = frames.where(F.col("score") > threshold).withWatermark("ts", late)
     runs = active.groupBy(key, F.session_window("ts", f"{gap_seconds} seconds")).agg(F.min("ts").alias("onset"), F.max("ts").alias("last"), F.count("*").alias("n"))
     return runs.where(F.col("n") >= least).drop("session_window")
+
+
+def over_new_files(spark: SparkSession, path: str, schema: str, plan: Callable[[DataFrame], DataFrame], out: str, log: str) -> DataFrame:
+    """Run ``plan`` over what has arrived under ``path`` since the last call and append its closed windows to ``out``; returns all of ``out``.
+
+    ``log`` is the query's checkpoint, so a call that fails is made good by the next one.
+    """
+    result = plan(spark.readStream.schema(schema).parquet(path))
+    result.writeStream.format("parquet").option("path", out).option("checkpointLocation", log).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(result.schema).parquet(out)

@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -32,11 +33,48 @@ def test_equals_sql(spark, duck, name):
     pd.testing.assert_frame_equal(got, want, check_dtype=False)
 
 
-@pytest.mark.parametrize("name", ["kmeans", "gmm_soft", "subcluster", "event_metrics", "peak_count_distance", "pca2"])
+@pytest.mark.parametrize("name", ["bic_scan_diag", "bic_scan_tied", "bic_refit", "event_metrics", "peak_count_distance", "explained_variance"])
 def test_runs(spark, name):
     assert catalogue.QUERIES[name](spark, SF).count() > 0
 
 
 def test_soft_rows_sum_to_one(spark):
-    for row in catalogue.QUERIES["gmm_soft"](spark, SF).limit(50).collect():
+    for row in catalogue.QUERIES["gmm_soft"](spark, SF).collect():
         assert abs(sum(row["probs"]) - 1) < 1e-9
+    shares = {}
+    for row in catalogue.QUERIES["subcluster"](spark, SF).collect():
+        shares[row["vec_id"]] = shares.get(row["vec_id"], 0) + row["p"]
+    assert all(abs(x - 1) < 1e-9 for x in shares.values())
+
+
+def vectors_of(duck):
+    rows = duck.sql("SELECT vec_id, CAST(embedding AS DOUBLE[]) FROM embeddings ORDER BY vec_id").fetchall()
+    return [r[0] for r in rows], np.array([r[1] for r in rows])
+
+
+def test_clusters_are_the_nearest_centres(spark, duck):
+    ids, x = vectors_of(duck)
+    rows = {r["vec_id"]: r for r in catalogue.QUERIES["kmeans"](spark, SF).collect()}
+    own = np.array([rows[i]["cluster"] for i in ids])
+    assert set(own) == set(range(10)) and all(rows[i]["probs"][rows[i]["cluster"]] == 1 == sum(rows[i]["probs"]) for i in ids)
+    centres = np.stack([x[own == c].mean(axis=0) for c in range(10)])
+    assert (((x[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1) == own).mean() > 0.98
+
+
+def test_components_equal_a_singular_value_decomposition(spark, duck):
+    ids, x = vectors_of(duck)
+    got = {r["vec_id"]: r["pc"] for r in catalogue.QUERIES["pca2"](spark, SF).collect()}
+    c = x - x.mean(axis=0)
+    u, s, _ = np.linalg.svd(c, full_matrices=False)
+    assert np.allclose(np.abs(np.array([got[i] for i in ids])), np.abs(u[:, :2] * s[:2]), atol=1e-6)
+    share = [r["share"] for r in sorted(catalogue.QUERIES["explained_variance"](spark, SF).collect())]
+    assert np.allclose(share, (s**2 / (s**2).sum())[:10])
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    u, s, _ = np.linalg.svd(z[:, :12] - z[:, :12].mean(axis=0), full_matrices=False)
+    three = {r["vec_id"]: [r[f"harmonic_pc{k}"] for k in (1, 2, 3)] for r in catalogue.QUERIES["top_components"](spark, SF).collect()}
+    assert np.allclose(np.abs(np.array([three[i] for i in ids])), np.abs(u[:, :3] * s[:3]), atol=1e-6)
+
+
+def test_leaves_are_bounded(spark):
+    leaves = catalogue.QUERIES["size_bounded_tree"](spark, SF).groupBy("leaf").count().collect()
+    assert max(r["count"] for r in leaves) <= sum(r["count"] for r in leaves) // 6
