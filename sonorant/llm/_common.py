@@ -117,10 +117,10 @@ def linked(
     ``met(v, key, size, need)``: ``meeting`` blocks; a pair is a candidate if it
     meets under ``need`` of them (of two members the lesser) and the smaller size
     is ``similarity`` of the larger or more. ``verified`` cuts candidates ``(a, b)``
-    down to links. ``comps``: components known before. ``facts(key, ...)`` with
-    ``fits`` (of both members' columns, "size" included) rejects pairs that cannot
-    link before they leave the block, so that members with a common part but little
-    else in common never become pairs.
+    down to links. ``comps``: components known before. ``facts(key, size, ...)`` with
+    ``fits`` (of both members' columns) rejects pairs that cannot link before they
+    are verified, mostly before they leave the block, so that members with a common
+    part but little else in common never become pairs.
 
     So that a large group never becomes all its pairs, members are first held
     against one chief of each block. Then, within each block, those outside the
@@ -136,8 +136,8 @@ def linked(
             named = met.join(member, met["key"] == member["node"], "left").drop("node")
             named = named.withColumn("comp", F.coalesce("component", "key")).withColumn("members", F.coalesce("members", F.lit(1))).drop("component")
             chief = F.max_by("key", "members")
-        also = [c for c in facts.columns if c != "key"] if whole and facts is not None else []
-        named = named.join(facts, "key") if also else named
+        also = [c for c in facts.columns if c not in ("key", "size")] if whole and facts is not None else []
+        named = named.join(facts.drop("size"), "key") if also else named
         named = named.repartition("v")  # one exchange serves all that follows
         ruler = chief if comps is None else F.max_by("comp", "members")
         ruling = named.groupBy("v").agg(ruler.alias("ruler"), chief.alias("chief"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").drop("c0", "c1")
@@ -152,7 +152,12 @@ def linked(
             pairs, need = outside.withColumn("b", F.col("chief")), F.col("da")
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), need.alias("need"))
         counted = pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("need").alias("need")).where("n >= need") if shared > 1 else pairs
-        candidates, path = stage(counted.select("a", "b").distinct() if shared == 1 else counted.select("a", "b"), "candidates")
+        counted = counted.select("a", "b").distinct() if shared == 1 else counted.select("a", "b")
+        if facts is not None and not whole:
+            one, two = (facts.select(*[F.col(c).alias(x if c == "key" else f"{c}_{x}") for c in facts.columns]) for x in ("a", "b"))
+            met_facts = counted.join(one, "a").join(two, "b").where(F.least("size_a", "size_b") >= F.lit(similarity) * F.greatest("size_a", "size_b") - 1e-9)
+            counted = met_facts.where(fits(lambda c: F.col(f"{c}_a"), lambda c: F.col(f"{c}_b"))).select("a", "b")
+        candidates, path = stage(counted, "candidates")
         links = verified(candidates)
         if comps is not None:
             links = links.unionByName(comps.select(F.col("node").alias("a"), F.col("component").alias("b")))

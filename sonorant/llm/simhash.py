@@ -398,7 +398,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     spark = docs.sparkSession
     prints, _ = stage(text_fingerprints(docs, id_col, text_col, width, similarity), "prints")
     # of texts that share 64 bits only one is known further; the others differ in ``check`` and stay alone
-    nodes, nodes_path = stage(prints.groupBy("node").agg(F.count("*").alias("n"), F.min("check").alias("check"), *[F.first(c).alias(c) for c in ("fp", "wide", "odd")]), "nodes")
+    nodes, nodes_path = stage(prints.groupBy("node").agg(F.count("*").alias("n"), F.min("check").alias("check"), *[F.first(c).alias(c) for c in ("fp", "wide", "size", "odd")]), "nodes")
 
     def near(wide: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
         return lambda a, b: np.bitwise_count((wide[a] ^ wide[b]).view(np.uint64)) <= SHINGLE_RADIUS
@@ -422,7 +422,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
         differing = sum((F.bit_count(F.get(a("odd"), F.lit(i)).bitwiseXOR(F.get(b("odd"), F.lit(i)))) for i in range(1, ODD // 64)), F.bit_count(F.get(a("odd"), F.lit(0)).bitwiseXOR(F.get(b("odd"), F.lit(0)))))
         return differing <= F.floor((1 - similarity) / (1 + similarity) * (a("size") + b("size")) + 1e-9)  # as many shingles at most are in one text only
 
-    facts = nodes.select(F.col("node").alias("key"), "odd")
+    facts = nodes.select(F.col("node").alias("key"), "size", "odd")
     final = linked(met, verified, similarity, comps=comps, facts=facts, fits=fits).withColumnRenamed("node", "n_node")
     drop(spark, path, met_path)
     final = final.unionByName(final.select(F.col("component").alias("n_node"), "component").distinct())
