@@ -10,7 +10,8 @@ say where a token starts. The slices are encoded by pair merging in rank order,
 with a bounded memo of slices already met.
 
 Nulls and empties encode to nothing and decode to the empty string. Rows are
-independent; repeated rows and ties stay; extra columns are ignored.
+independent; repeated rows and ties stay; extra columns are ignored, whatever
+their names; an empty table gives no rows. Long texts are worked on whole.
 """
 
 from __future__ import annotations
@@ -26,8 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Slices a worker remembers before it starts its memo anew.
-MEMO = 250_000
+#: Slices a worker remembers before it starts its memo anew, and the bytes of a slice it remembers at most.
+MEMO, LONGEST = 250_000, 64
+#: The pattern whose matches the automaton finds (a fixed value); no other can be asked for.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Rows of an arrow batch that are worked on at once, and code points that are scanned at once.
 ROWS = 500
 SCAN = 500_000
@@ -151,7 +154,9 @@ class Memo(dict):
         self.ranks = ranks
 
     def __missing__(self, piece: bytes) -> bytes:
-        self[piece] = out = np.array(merge(piece, self.ranks), "<u4").tobytes()
+        out = np.array(merge(piece, self.ranks), "<u4").tobytes()
+        if len(piece) <= LONGEST:
+            self[piece] = out
         return out
 
 
@@ -213,12 +218,14 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, ROWS)
 
 
-def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str = PATTERN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, ids, ends)``: the text's ids and, for each, where its bytes end in the text.
 
     Both are binary, little-endian unsigned 32-bit. ``ranks_path`` must exist on
-    every worker, as an installed package's file does.
+    every worker, as an installed package's file does. ``pattern`` is the vocabulary's own.
     """
+    if pattern != PATTERN:
+        raise ValueError("the automaton cuts texts by one pattern, and this is another")
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,7 +12,9 @@ bits that their filters share exceed what chance would share.
 
 A null text is an empty one and has no feature; two empty fingerprints are
 equal (1), an empty and another one are not alike (0). A text shorter than a
-window is one zero-padded window. Extra columns are ignored.
+window is one zero-padded window; long ones are read whole. Repeated rows and ties
+stay; extra columns are ignored, whatever their names; an empty table gives no
+rows. ``edited_likeness`` needs whole numbers as ids.
 """
 
 from __future__ import annotations
@@ -158,24 +160,30 @@ def fingerprints(docs: DataFrame, ranks: np.ndarray, id_col: str = "doc_id", tex
 def with_successors(docs: DataFrame, id_col: str, text_col: str, parts: int) -> DataFrame:
     """Rows dealt into id ranges, each range followed by the row that comes after it.
 
-    Order: id descending (nulls last), then text. Returns ``(id, text, part, after)``
-    partitioned and sorted by part; ``after`` rows are the next range's first (after
-    the last range: the first one's), whose own place is elsewhere. Only range
-    bounds and one id for each range pass through the driver.
+    Order: id descending (nulls last), then a hash of the text, then the text. Returns
+    ``(id, text, part, after)`` partitioned and sorted by part; ``after`` rows are the
+    next range's first (after the last range: the first one's), whose own place is
+    elsewhere. Null ids are ranges of hashes, so they don't meet in one task. Only
+    range bounds and one place for each range pass through the driver.
     """
+    if docs.schema[id_col].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{id_col} must be a whole number, as documents are ordered by it")
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).withColumn("_x", F.col("id").cast("double"))
+    # ascending (_o, _h) is the order
+    rows = rows.withColumn("_o", F.coalesce(F.bitwise_not("id"), F.lit((1 << 63) - 1))).withColumn("_h", F.xxhash64("text"))
     cuts = sorted(set(rows.approxQuantile("_x", [i / parts for i in range(1, parts)], 0.1 / parts))) if parts > 1 else []
+    cuts = cuts or [0.0]  # an empty table, or ids that are all null
     cut = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="_x", outputCol="_b", handleInvalid="keep")
-    dealt = cut.transform(rows).withColumn("part", F.coalesce(F.lit(len(cuts)) - F.col("_b"), F.lit(float(len(cuts)))).cast("int"))
-    dealt = dealt.withColumn("part", F.when(F.col("id").isNull(), len(cuts)).otherwise(F.col("part")))
-    heads = sorted((r["part"], r["head"]) for r in dealt.groupBy("part").agg(F.max("id").alias("head")).where("head IS NOT NULL").collect())
-    follow = [(head, heads[i - 1][0]) for i, (_, head) in enumerate(heads)]
-    table = docs.sparkSession.createDataFrame(follow, "id bigint, before int")
-    both = dealt.join(F.broadcast(table), "id", "left").select(  # as many rows as ranges
-        "id", "text",
+    last = F.lit(len(cuts) + 1) + F.shiftright("_h", 58).cast("int") + 32  # 64 ranges of hashes for null ids
+    dealt = cut.transform(rows).withColumn("part", F.when(F.col("id").isNull(), last).otherwise((F.lit(len(cuts)) - F.col("_b")).cast("int")))
+    heads = sorted((r["part"], r["p"]["_o"], r["p"]["_h"]) for r in dealt.groupBy("part").agg(F.min(F.struct("_o", "_h")).alias("p")).collect())  # a row for each range
+    follow = [(o, h, heads[i - 1][0]) for i, (_, o, h) in enumerate(heads)]
+    table = docs.sparkSession.createDataFrame(follow, "_o bigint, _h bigint, before int")
+    both = dealt.join(F.broadcast(table), ["_o", "_h"], "left").select(  # as many rows as ranges
+        "id", "text", "_o", "_h",
         F.inline(F.expr("CASE WHEN before IS NULL THEN array(struct(part, false AS after)) ELSE array(struct(part, false AS after), struct(before AS part, true AS after)) END")),
     )
-    return both.repartition("part").sortWithinPartitions("part", "after", F.col("id").desc_nulls_last(), F.col("text").asc_nulls_first())
+    return both.repartition("part").sortWithinPartitions("part", "after", "_o", "_h", F.col("text").asc_nulls_first())
 
 
 def edited_likeness(docs: DataFrame, ranks: np.ndarray, id_col: str = "doc_id", text_col: str = "text", parts: int = 48) -> DataFrame:

@@ -8,7 +8,8 @@ of the sample that the weights have not seen.
 
 A text that is null or has no letter is ``und`` with score 0, as is every text
 if nothing was learned. Rows without a language are not learned from. Repeated
-rows and ties are predicted alike; extra columns are ignored.
+rows and ties are predicted alike; extra columns are ignored, whatever their
+names. Texts are read whole, however long; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -138,7 +139,8 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
         df[r["bucket"]] = r["n"]
     idf = np.log((1 + df[BUCKETS]) / (1 + df[:BUCKETS])) + 1
     chosen = rows.select("id").orderBy(F.xxhash64("id"), "id").limit(sample).distinct()
-    picked = rows.join(F.broadcast(chosen), "id").select("text", "lang").mapInArrow(features, "index binary, counts binary, lang string")  # at most `sample` rows
+    one = rows.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min(F.struct("text", "lang")).alias("r"))  # an id counts once
+    picked = one.select("r.text", "r.lang").mapInArrow(features, "index binary, counts binary, lang string")  # at most `sample` rows
     got = sorted((r["lang"], r["index"], r["counts"]) for r in picked.collect())
     languages = sorted({lang for lang, _, _ in got})
     if not languages:

@@ -8,8 +8,8 @@ A task packs at most ``ROOM`` items at a time, so no group grows with the input,
 and every piece ends in exactly one sequence.
 
 A null text is an empty one and becomes the end mark alone. Repeated rows and
-ties stay as pieces of their own; extra columns are ignored; an empty table
-gives no rows.
+ties stay as pieces of their own; extra columns are ignored, whatever their names;
+an empty table gives no rows. Long texts are cut into pieces whole.
 """
 
 from __future__ import annotations

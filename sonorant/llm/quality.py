@@ -6,7 +6,8 @@ raise a score. They are flattened to node arrays of complete binary trees, and a
 batch is scored by walking all trees of all documents at once.
 
 A null text is an empty one: no words, which the base rules fail. Repeated rows
-and ties are scored alike; extra columns are ignored. Labels: null ones are
+and ties are scored alike; extra columns are ignored (``kept`` keeps them), whatever
+their names. Texts are measured whole, however long; an empty table gives no rows. Labels: null ones are
 skipped; of several for a document the lowest counts. Without labels of both
 kinds only the base rules decide.
 """
@@ -196,7 +197,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         labels.where("quality IS NOT NULL").groupBy(F.col(id_col).alias("id")).agg(F.min("quality").alias("quality"))
         .orderBy(F.xxhash64("id"), "id").limit(sample)
     )
-    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id")  # at most `sample` rows
+    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id")
+    chosen = chosen.groupBy("id").agg(F.min("text").alias("text"))  # an id counts once, so at most `sample` rows
     rows = _measured(chosen, "id", "text", None).join(F.broadcast(known), "id").select("features", "quality", *BASE).collect()
     x = np.array([r["features"] for r in rows]).reshape(-1, len(FEATURES))
     base = np.array([[r[c] for c in BASE] for r in rows], np.int64).reshape(-1, 5)

@@ -80,7 +80,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary("byte_bpe_multi_50k.tiktoken")
-    done = bpe.decode(bpe.encode(_read(spark, sf_dir, "documents"), path), path)
+    done = bpe.decode(bpe.encode(_read(spark, sf_dir, "documents"), path, pattern()), path)
     return done.select(
         F.col("id").alias("doc_id"), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),

@@ -8,8 +8,9 @@ only with an identifier or an endpoint. All parts of a kind are leftmost and
 non-overlapping; a weak candidate that overlaps a strong span is dropped.
 
 Spans depend on the text alone: each distinct text is worked on once and joined
-back to all rows that hold it. A null text has no span. Repeated rows and ties
-get the same spans; extra columns stay with ``with_spans``.
+back to all rows that hold it. A null or empty text has no span. Repeated rows and
+ties get the same spans; extra columns stay, whatever their names. An empty table
+gives no rows. Patterns read a text in time linear in its length, however long.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._common import salted_join
+
 #: Code points between complementary parts, at most.
 NEAR = 200
 
@@ -24,8 +27,8 @@ NEAR = 200
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 STRONG = [("assign", ASSIGN, 6, 2), ("access", r"AKIA[A-Z0-9]+", 20, 0), ("hex", r"[0-9a-f]{24,}", 24, 0)]
 WEAK = [
-    ("ident", r"""\b(?i:(?:access|account|client|key|user)_?(?:key_?)?id|user(?:name)?|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@_.-]+)""", 3, 1),
-    ("blob", r"\b(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{32,}", 32, 0),
+    ("ident", r"""\b(?i:(?:[a-z0-9]+_){0,6}(?:(?:access|account|client|key|user)_?(?:key_?)?id|user(?:name)?|login))["']?\x20*[:=]\x20*["']?([A-Za-z0-9@_.-]+)""", 3, 1),
+    ("blob", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}", 32, 0),  # with a digit, which is asked for later: a look ahead would read long runs again and again
     ("endpoint", r"""\b(?:(?:https?|ftp|amqp|redis|mongodb|mysql|postgres(?:ql)?|s3)://[^\s"'<>]+|(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b)""", 7, 0),
 ]
 BREAK = r"\n[\x20\t\r]*\n"
@@ -69,6 +72,8 @@ def text_spans(texts: DataFrame) -> DataFrame:
             enough = F.when(F.col("kind") == kind, F.length(F.regexp_extract("part", pattern, group)) >= least).otherwise(enough)
         elif kind in ("access", "endpoint"):
             enough = F.when(F.col("kind") == kind, size >= least).otherwise(enough)
+        elif kind == "blob":
+            enough = F.when(F.col("kind") == kind, F.col("part").rlike("[0-9]")).otherwise(enough)
     scope = Window.partitionBy("key").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int")
     role = F.create_map(*[F.lit(x) for kv in ROLE.items() for x in kv])
@@ -99,15 +104,28 @@ def text_spans(texts: DataFrame) -> DataFrame:
 _NONE = "array<struct<start:bigint,rank:int,end:bigint,kind:string>>"
 
 
+def _scanned(docs: DataFrame, text_col: str) -> DataFrame:
+    """``(row, text, spans)``: each row as it was, its text and spans. Rows without a suspect pass by the join, copies of a text are dealt out."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(row, F.col(text_col).alias("text"))
+    suspect = F.coalesce(_suspect(F.col("text")), F.lit(False))
+    keyed = rows.where(suspect).withColumn("key", F.sha2("text", 256))
+    found = text_spans(keyed.select("key", "text").dropDuplicates(["key"]))
+    some = salted_join(keyed, found, ["key"], "left").select("row", "text", F.coalesce("spans", F.array().cast(_NONE)).alias("spans"))
+    return some.unionByName(rows.where(~suspect).withColumn("spans", F.array().cast(_NONE)))
+
+
 def with_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """All rows and columns of ``docs`` with ``spans``, in the order of start, then kind as listed."""
-    text = F.col(text_col)
-    # rows without a suspect get keys of their own kind, spread evenly, which meet nothing
-    key = F.when(_suspect(text), F.sha2(text, 256)).otherwise(F.concat(F.lit("-"), F.hex(F.xxhash64(text))))
-    keyed = docs.withColumn("_key", key)
-    texts = keyed.where(F.startswith("_key", F.lit("-")) == F.lit(False)).select(F.col("_key").alias("key"), text.alias("text")).dropDuplicates(["key"])
-    found = text_spans(texts).select(F.col("key").alias("_key"), "spans")
-    return keyed.join(found, "_key", "left").drop("_key").withColumn("spans", F.coalesce("spans", F.array().cast(_NONE)))
+    """All rows and columns of ``docs`` with ``spans`` (in place of a column of that name), in the order of start, then kind as listed."""
+    done = _scanned(docs, text_col)
+    return done.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != "spans"], "spans")
+
+
+def cleaned(docs: DataFrame, text_col: str = "text", length_col: str | None = None) -> DataFrame:
+    """``docs`` with its columns alone, secrets replaced in the text; ``length_col`` gets the new length."""
+    new = {text_col: F.col("clean")} | ({length_col: F.length("clean").cast(docs.schema[length_col].dataType)} if length_col in docs.columns else {})
+    done = _scanned(docs, text_col).select("row", redacted(F.col("text"), F.col("spans")).alias("clean"))
+    return done.select(*[(new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def redacted(text: Column, spans: Column, mark: str = "[secret]") -> Column:

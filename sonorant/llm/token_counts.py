@@ -9,7 +9,8 @@ greedy longest-match-first in time linear in the word, and no piece is built.
 
 Words (runs of anything but 0x20 and 0x09-0x0D) are read with a blank before
 them, as the vocabulary marks the starts of words. Null and word-less texts count
-zero. Repeated rows and ties stay; extra columns are ignored.
+zero. Repeated rows and ties stay; extra columns are ignored, whatever their
+names. Texts are read whole, however long; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 from ._common import texts
 from .bpe import load_ranks
 
-#: Words a worker remembers before it starts its memo anew.
-MEMO = 400_000
+#: Words a worker remembers before it starts its memo anew, and the bytes of a word it remembers at most.
+MEMO, LONGEST = 400_000, 64
 
 
 class Automaton(dict):
@@ -74,7 +75,9 @@ class Automaton(dict):
                 total += pops[state]
                 state = fail[state]
             state = nxt
-        self[word] = total = total + self.rest[state]
+        total += self.rest[state]
+        if len(word) <= LONGEST:
+            self[word] = total
         return total
 
 

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -56,3 +57,22 @@ def test_redaction(docs_of):
     texts = ["a password=hunter22 b", 'é token = "' + "0a" * 20 + '" z', "clean", None]
     rows = S.with_spans(docs_of(texts)).select("doc_id", S.redacted(F.col("text"), F.col("spans")).alias("t")).collect()
     assert {r["doc_id"]: r["t"] for r in rows} == {0: "a [secret] b", 1: 'é [secret]" z', 2: "clean", 3: None}
+
+
+def test_prefixed_identifiers_and_blobs_without_digits(docs_of):
+    blob = "Ab9" * 12
+    texts = [f"AWS_ACCESS_KEY_ID=abcd {blob}", f"export DB_USER=bob; {blob}", "login=alice " + "no-digits-here-" * 5, f"login=alice --{blob}"]
+    got = spans(docs_of(texts))
+    assert [[k for *_, k in got[i]] for i in range(4)] == [["ident", "blob"], ["ident", "blob"], [], ["ident", "blob"]]
+
+
+def test_long_runs_take_linear_time_and_names_may_clash(spark):
+    names = ["spans", "_key", "key", "row", "clean", "start"]
+    rows = [(i, t, *range(len(names))) for i, t in enumerate(["long-word-" * 60_000, "a_" * 100_000, "password=hunter22", None, ""])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, " + ", ".join(f"{c} int" for c in names))
+    began = time.time()
+    assert S.with_spans(docs).columns == [*(c for c in docs.columns if c != "spans"), "spans"]
+    assert {r["doc_id"]: len(r["spans"]) for r in S.with_spans(docs).collect()} == {0: 0, 1: 0, 2: 1, 3: 0, 4: 0}
+    done = {r["doc_id"]: r for r in S.cleaned(docs).collect()}
+    assert done[2]["text"] == "[secret]" and done[3]["text"] is None and tuple(done[0])[2:] == tuple(range(len(names)))
+    assert time.time() - began < 60

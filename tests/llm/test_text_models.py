@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -9,6 +10,8 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
 from sonorant.llm import bpe, fingerprints, langid, packing, quality, token_counts, url_filter
 from sonorant.llm.queries import URL_RULES, pattern, vocabulary
@@ -130,11 +133,13 @@ def test_fingerprints_of_edits_and_order(docs_of):
     rng = random.Random(5)
     texts = [" ".join(f"{rng.randrange(10**6):x}" for _ in range(rng.randint(30, 400))) for _ in range(30)] + [None, "", "a", "b" * 70_000]
     texts += [texts[3]]
-    ids = [*range(len(texts) - 2), 7, None]  # a tie and a null id
+    texts += [f"null {i} " * i for i in range(20)]
+    ids = [*range(len(texts) - 22), 7, *[None] * 21]  # a tie and null ids
     df = docs_of(texts, ids)
     ranks = fingerprints.rarity(df)
     got = fingerprints.edited_likeness(df, ranks, parts=5).collect()
-    order = sorted(range(len(texts)), key=lambda i: (ids[i] is None, -(ids[i] or 0), texts[i] is not None, texts[i] or ""))
+    h = lambda t: 42 if t is None else int(np.uint64(xxhash.xxh64_intdigest(t.encode(), 42)).view(np.int64))
+    order = sorted(range(len(texts)), key=lambda i: (ids[i] is None, -(ids[i] or 0), h(texts[i]), texts[i] or ""))
     want = []
     for k, i in enumerate(order):
         a, b = texts[i] or "", texts[order[(k + 1) % len(order)]] or ""
@@ -162,3 +167,191 @@ def test_url_rules_and_model(spark):
     assert (got[7]["host"], got[7]["path"]) == ("h.org", "")
     none = url_filter.default_labels(spark).limit(0)
     assert url_filter.judge(df, [], none).where("verdict = 'block'").count() == 0
+
+
+SMALL = "/root/testdata/sf0.01"
+
+
+def test_follow_the_regularised_leader_steps_equal_plain_loops(monkeypatch):
+    monkeypatch.setattr(langid, "BUCKETS", 12)
+    rng = np.random.default_rng(4)
+    rows = [(np.sort(rng.choice(12, 4, replace=False)), rng.random(4).astype(np.float32)) for _ in range(25)]
+    y = rng.integers(0, 3, 25)
+    alpha, beta, l1, l2 = 1.0, 1.0, 0.02, 0.02
+    z, n = [[0.0] * 3 for _ in range(12)], [[0.0] * 3 for _ in range(12)]
+
+    def w(i, k):
+        return 0.0 if abs(z[i][k]) <= l1 else -(z[i][k] - np.sign(z[i][k]) * l1) / ((beta + n[i][k] ** 0.5) / alpha + l2)
+
+    order = np.random.default_rng(0)
+    for _ in range(3):
+        for r in order.permutation(25):
+            index, x = rows[r]
+            now = [[w(i, k) for k in range(3)] for i in index]
+            e = [np.exp(sum(float(v) * row[k] for v, row in zip(x, now, strict=True))) for k in range(3)]
+            for a, i in enumerate(index):
+                for k in range(3):
+                    g = float(x[a]) * (e[k] / sum(e) - (y[r] == k))
+                    sigma = ((n[i][k] + g * g) ** 0.5 - n[i][k] ** 0.5) / alpha
+                    z[i][k] += g - sigma * now[a][k]
+                    n[i][k] += g * g
+    assert np.allclose(langid.ftrl(rows, y, 3), [[w(i, k) for k in range(3)] for i in range(12)], atol=1e-5)
+
+
+def test_temperature_lowers_the_loss():
+    rng = np.random.default_rng(1)
+    logits, y = 8 * rng.normal(size=(300, 4)), rng.integers(0, 4, 300)
+    y[:150] = logits[:150].argmax(axis=1)
+
+    def loss(t):
+        z = logits / t
+        return float((np.log(np.exp(z - z.max(1, keepdims=True)).sum(1)) + z.max(1) - z[np.arange(300), y]).mean())
+
+    best = langid.temperature(logits, y)
+    assert all(loss(best) <= loss(t) + 1e-6 for t in (0.05, 0.5, 1.0, 3.0, 10.0, best * 1.1, best / 1.1))
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="no fixtures")
+def test_languages_and_quality_of_held_out_documents(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    found = langid.predict(docs, langid.train(docs.where(~held))).withColumnRenamed("id", "doc_id").join(docs.where(held & F.col("lang").isNotNull() & F.col("text").rlike("[a-z]{3}")), "doc_id")
+    assert found.where("lang_pred = lang").count() >= 0.98 * found.count() > 100
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    test = F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0
+    judged = quality.judge(docs, quality.train(docs, labels.where(~test))).withColumnRenamed("id", "doc_id").join(labels.where(test), "doc_id")
+    assert judged.where("kept = (quality = 1)").count() >= 0.9 * judged.count() > 50
+
+
+def test_flattened_trees_equal_a_walk_from_the_root():
+    rng = np.random.default_rng(3)
+    x = rng.random((300, len(quality.FEATURES)))
+    trees = quality.grow(x, (x[:, 0] + x[:, 5] > 1).astype(float), rounds=12)
+
+    def walk(row, t, node=0):
+        inner = trees.feature.shape[1]
+        if node >= inner:
+            return trees.leaf[t, node - inner]
+        return walk(row, t, 2 * node + 1 + (row[trees.feature[t, node]] > trees.threshold[t, node]))
+
+    want = [1 / (1 + np.exp(-(trees.start + sum(walk(row, t) for t in range(len(trees.leaf)))))) for row in x]
+    assert np.allclose(trees.score(x), want)
+
+
+def plain_features(text, ranks):
+    """The selected windows of a text by definition, each once, in text order."""
+    data = text.ljust(16, b"\0") if text else b""
+    windows = [data[i : i + 16] for i in range(len(data) - 15)]
+    if not windows:
+        return []
+
+    def tie(w):
+        h = [(b * 0x9E3779B1) % 2**32 for b in w]
+        step = 1
+        while step < 16:
+            h = [((h[i] ^ h[i] >> 15) * 0x85EBCA77 + h[i + step]) % 2**32 for i in range(len(h) - step)]
+            step *= 2
+        return (h[0] * 0xC2B2AE3D) % 2**32 >> 10
+
+    keys = [(ranks[sum(c * (c - 1) // 2 for c in Counter(w).values())], tie(w), i) for i, w in enumerate(windows)]
+    span = max(1, min(64, len(keys) // 8))
+    points = Counter(min(keys[i : i + span])[2] for i in range(len(keys) - span + 1))
+    least = min(span // 4, max(points.values()))
+    return list(dict.fromkeys(windows[i] for i in sorted(points) if points[i] >= least))
+
+
+def test_fingerprint_features_filters_and_likeness_equal_their_definitions(docs_of):
+    rng = random.Random(11)
+    words = ["the", "of", "aaaa", "zebra", "\u00e9t\u00e9", "12", "xyzxyz"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.choice([1, 3, 20, 90, 400]))) for _ in range(25)] + ["", "a", "b" * 300, "0123456789abcdef"]
+    ranks = fingerprints.rarity(docs_of(texts))
+    count = Counter()
+    for t in texts:
+        data = t.encode().ljust(16, b"\0") if t else b""
+        count.update(sum(c * (c - 1) // 2 for c in Counter(data[i : i + 16]).values()) for i in range(len(data) - 15))
+    assert [int(x) for x in np.argsort(ranks)] == sorted(range(fingerprints.LEVELS), key=lambda lv: (count[lv], lv))
+    chains = []
+    for t in texts:
+        want = plain_features(t.encode(), ranks)
+        hashes = fingerprints.feature_hashes(t.encode(), ranks)
+        alone = [int(fingerprints.feature_hashes(w, ranks)[0]) for w in want]
+        assert hashes.tolist() == alone
+        bits = [set() for _ in range(-(-len(want) // 80))]
+        for i, h in enumerate(alone):
+            bits[i // 80] |= {(h >> 12 * k) % 1024 for k in range(5)}
+        assert [set(np.flatnonzero(row).tolist()) for row in fingerprints.filters(hashes)] == bits
+        chains.append((fingerprints.filters(hashes), bits))
+    for _ in range(200):
+        (fa, a), (fb, b) = rng.choice(chains), rng.choice(chains)
+        small, large = (a, b) if len(a) <= len(b) else (b, a)
+        best = []
+        for x in small:
+            scores = [0.0]
+            for y in large:
+                chance, most = len(x) * len(y) / 1024, min(len(x), len(y))
+                floor = chance + 0.3 * (most - chance)
+                scores.append(min(1.0, max(0.0, (len(x & y) - floor) / max(most - floor, 1e-9))))
+            best.append(max(scores))
+        want = 1.0 if a == b else sum(best) / len(best) if best else 0.0
+        assert abs(fingerprints.likeness(fa, fb) - want) < 1e-5
+
+
+def test_both_tokenisers_agree_on_every_code_point():
+    tokenizers = pytest.importorskip("tokenizers")
+    known = tokenizers.Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+    mine = packing._encoding(BPE50, pattern(), "<|endoftext|>", 50256)
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["x" + "".join(points[i : i + 40]) + " y" for i in range(0, len(points), 40)] + [f"a{c} {c}1{c}{c}" for c in points[:0x2100]]
+    for text, ids in zip(texts, known.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert mine.encode_ordinary(text) == ids.ids
+
+
+def test_another_pattern_is_refused(docs_of):
+    assert pattern() == bpe.PATTERN
+    with pytest.raises(ValueError, match="pattern"):
+        bpe.encode(docs_of(["a"]), MULTI, r"\w+")
+
+
+def test_long_words_are_not_remembered():
+    known = bpe.Memo(bpe.load_ranks(MULTI))
+    assert known[b"x" * 65] and b"x" * 65 not in known and known[b"x" * 64] and b"x" * 64 in known
+    counts = token_counts.Automaton([bytes([b]) for b in range(256)])
+    assert counts[b"y" * 100] == 101 and b"y" * 100 not in counts
+
+
+def test_empty_tables_repeated_rows_long_texts_and_clashing_names(spark):
+    names = ["id", "words", "features", "score", "n_words", "part", "after", "bin", "filled", "piece"]
+    schema = "doc_id bigint, text string, lang string, " + ", ".join(f"{c} int" for c in names)
+    long = "word of the day, " * 60_000
+    docs = spark.createDataFrame([(i, t, "aa", *range(len(names))) for i, t in [(1, long), (1, long), (2, "b " * 30), (None, None), (3, "")]], schema)
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id bigint, quality int")
+    none, trees, model = docs.limit(0), quality.train(docs, labels), langid.train(docs)
+    ranks = fingerprints.rarity(docs)
+    for run in (
+        lambda d: token_counts.token_counts(d, BPE50), lambda d: quality.judge(d, trees), lambda d: langid.predict(d, model),
+        lambda d: fingerprints.fingerprints(d, ranks), lambda d: fingerprints.edited_likeness(d, ranks, parts=2), lambda d: bpe.decode(bpe.encode(d, MULTI), MULTI),
+    ):
+        rows = run(docs).collect()
+        assert len(rows) == 5 and len({str(r) for r in rows if r["id"] == 1}) <= 2 and run(none).count() == 0
+    packed = packing.pack(packing.tokenised_pieces(docs, BPE50, pattern(), 2))
+    pieces = packed.groupBy("doc_id").sum("length").collect()
+    assert len(pieces) == 4 and packing.pack(packing.tokenised_pieces(none, BPE50, pattern(), 2)).count() == 0
+    assert quality.kept(docs, trees).columns == docs.columns and quality.kept(none, trees).count() == 0
+    with pytest.raises(TypeError):
+        fingerprints.edited_likeness(docs.withColumn("doc_id", F.lit("a")), ranks)
+
+
+def test_urls_nobody_has_seen(spark):
+    """A fifth of the table is left out of the fit and judged; then hosts of neither table."""
+    labels = url_filter.default_labels(spark).cache()
+    assert 500 < labels.count() < 1000
+    part = F.pmod(F.xxhash64("url"), F.lit(5)) == 0
+    urls = labels.where(part).withColumn("page_id", F.monotonically_increasing_id()).cache()
+    got = url_filter.judge(urls, [], labels.where(~part)).join(urls.withColumnRenamed("page_id", "id"), "id")
+    right = got.where((F.col("verdict") == "block") == (F.col("label") == 1)).count()
+    assert right >= 0.9 * urls.count()
+    fresh = [f"https://{s}.example.com/en/{i}" for i, s in enumerate(["blog.tionsh", "www.ththon", "m.ththha", "tiontion", "quorvex", "lumeris"])]
+    bad = ["https://m.casino-win.example.com/en/3", "http://cheap-pills.example.net/de/1", "https://pokerworld.io/", "http://best-torrent.net/x"]
+    df = spark.createDataFrame(list(enumerate([*fresh, *bad])), "page_id bigint, url string")
+    verdicts = {r["id"]: r["verdict"] for r in url_filter.judge(df, [], labels).collect()}
+    assert [verdicts[i] for i in range(len(fresh))] == ["allow"] * len(fresh) and [verdicts[len(fresh) + i] for i in range(len(bad))] == ["block"] * len(bad)
