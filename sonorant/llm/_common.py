@@ -123,8 +123,10 @@ def linked(
     part but little else in common never become pairs.
 
     So that a large group never becomes all its pairs, members are first held
-    against one chief of each block. Then, within each block, those outside the
-    component that dominates it are held against all of other components.
+    against one chief of each block: the least key, or where components are known the
+    member that meets others under the largest share of its blocks, as the
+    original of many edited copies does. Then, within each block, those outside
+    the component that dominates it are held against all of other components.
     """
     for whole in (False, True):
         if comps is None:
@@ -135,11 +137,15 @@ def linked(
             member = comps.join(heads, "component").unionByName(heads.withColumn("node", F.col("component")))
             named = met.join(member, met["key"] == member["node"], "left").drop("node")
             named = named.withColumn("comp", F.coalesce("component", "key")).withColumn("members", F.coalesce("members", F.lit(1))).drop("component")
-            chief = F.max_by("key", "members")
+            weight = "members"
+            if not whole:
+                weight = "weight"
+                named = named.join(met.groupBy("key").agg((F.count("*") / F.first("size")).alias("weight")), "key")
+            chief = F.max_by("key", weight)
         also = [c for c in facts.columns if c not in ("key", "size")] if whole and facts is not None else []
         named = named.join(facts.drop("size"), "key") if also else named
         named = named.repartition("v")  # one exchange serves all that follows
-        ruler = chief if comps is None else F.max_by("comp", "members")
+        ruler = chief if comps is None else F.max_by("comp", weight)
         ruling = named.groupBy("v").agg(ruler.alias("ruler"), chief.alias("chief"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").drop("c0", "c1")
         outside = named.join(ruling, "v").where("comp <> ruler").select("v", "ruler", "chief", F.col("key").alias("a"), F.col("size").alias("na"), F.col("need").alias("da"), F.col("comp").alias("ca"), *[F.col(c).alias(f"{c}_a") for c in also])
         if whole:
@@ -149,7 +155,7 @@ def linked(
                 pairs = pairs.where(fits(lambda c: F.col("na" if c == "size" else f"{c}_a"), lambda c: F.col("nb" if c == "size" else f"{c}_b")))
             need = F.least("da", "db")
         else:
-            pairs, need = outside.withColumn("b", F.col("chief")), F.col("da")
+            pairs, need = outside.withColumn("b", F.col("chief")).where("a <> b"), F.col("da")
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), need.alias("need"))
         counted = pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("need").alias("need")).where("n >= need") if shared > 1 else pairs
         counted = counted.select("a", "b").distinct() if shared == 1 else counted.select("a", "b")

@@ -316,6 +316,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 #: Fingerprints of distinct words within this many bits and of shingles within that many make the first candidates.
 WORD_RADIUS, SHINGLE_RADIUS = 8, 20
+#: Shingles whose sets one side of a unit of verification holds, about (8 bytes each).
+LOT = 2_000_000
 #: Classes of shingles whose parities bound how many two texts do not share.
 ODD = 512
 
@@ -380,9 +382,28 @@ def _similar(pairs: DataFrame, docs: DataFrame, prints: DataFrame, text_col: str
 
     sets, sets_path = stage(found.join(owners, "h").select("node", "text").mapInArrow(run, "node bigint, s array<bigint>"), "shingles")
     drop(docs.sparkSession, path)
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    links, _ = stage(both.where(shared >= F.lit(similarity) * (F.size("sa") + F.size("sb") - shared)).select("a", "b"), "links")
+    # nodes are dealt into lots; a unit of work holds the sets of two lots and the pairs between them
+    total = sets.agg(F.sum(F.size("s"))).first()[0] or 0
+    lots = max(1, -(-total // LOT))
+    lot = lambda c: F.pmod(F.xxhash64(c), F.lit(lots))
+    dealt = pairs.select("a", "b", (lot("a") * lots + lot("b")).alias("unit"))
+    asked = dealt.select(F.col("a").alias("node"), F.col("unit").alias("u")).unionByName(dealt.select(F.col("b").alias("node"), F.col("unit").alias("u"))).distinct()
+
+    def check(left: pa.Table, right: pa.Table) -> pa.Table:
+        known = dict(zip(right["node"].to_pylist(), right["s"].combine_chunks(), strict=True))
+        a, b, keep = left["a"].to_pylist(), left["b"].to_pylist(), []
+        known = {k: v.values.to_numpy() for k, v in known.items()}
+        for x, y in zip(a, b, strict=True):
+            one, two = known.get(x), known.get(y)
+            ok = one is not None and two is not None
+            if ok:
+                shared = len(np.intersect1d(one, two, assume_unique=True))
+                ok = shared >= similarity * (len(one) + len(two) - shared)
+            keep.append(ok)
+        return left.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    units = dealt.groupBy("unit").cogroup(sets.join(asked, "node").select("node", "s", "u").groupBy("u"))
+    links, _ = stage(units.applyInArrow(check, "a bigint, b bigint"), "links")
     drop(docs.sparkSession, sets_path)
     return links
 
