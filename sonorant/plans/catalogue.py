@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -9,7 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric, text
 from ..operators import clustering, intervals, relational, runs, sequences, smoothing, vectors
+from ..session import shared_place
 from ..sources import audio
+from ..streaming import events
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -654,3 +657,20 @@ SELECT role, round(q1, 9) AS q1, round(median, 9) AS median, round(q3, 9) AS q3,
 def sequence_length_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = sequences.length_quantiles(_read(spark, sf_dir, "conversations"), "conv_id", "role")
     return q.select("role", *[F.round(c, 9).alias(c) for c in q.columns if c != "role"])
+
+
+# streams
+
+
+@query("""WITH a AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events WHERE value > 34), m AS (SELECT max(ts) - INTERVAL 10 MINUTE AS w FROM a),
+g AS (SELECT user_id, ts, sum(CASE WHEN p IS NULL OR ts - p >= INTERVAL 6 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM a),
+s AS (SELECT user_id, min(ts) AS f, max(ts) AS l, count(*) AS n FROM g GROUP BY user_id, g HAVING count(*) >= 2)
+SELECT user_id, epoch_us(f) / 1e6 AS onset, epoch_us(l) / 1e6 AS last, n FROM s, m WHERE l + INTERVAL 6 HOUR <= w""")
+def stream_call_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream of files: sessions that the watermark has closed once all files are read."""
+    place = f"{shared_place(spark)}/sessions-{uuid.uuid4().hex}"
+    schema = _read(spark, sf_dir, "events").schema
+    plan = lambda df: events.call_sessions(df.select("user_id", F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("score")), "user_id", 34.0, 21_600, 2)
+    closed = events.over_new_files(spark, sf_dir, schema, plan, f"{place}/out", f"{place}/log", "events.parquet")
+    at = lambda c: _epoch(f"cast({c} AS timestamp_ntz)").alias(c)
+    return closed.select("user_id", at("onset"), at("last"), "n")

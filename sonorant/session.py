@@ -25,15 +25,19 @@ def session(app: str = "sonorant", master: str | None = None, shuffle_partitions
     )
 
 
+def shared_place(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``; one of its own only where everything runs in one process."""
+    known = spark.sparkContext.getCheckpointDir()
+    if known:
+        return known
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(base or tempfile.mkdtemp(prefix="sonorant-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed: computed once, so that all that reads it sees the same rows in the same partitions.
-
-    Checkpoints go to ``spark.checkpoint.dir``; a folder of its own only where everything runs in one process.
-    """
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(base or tempfile.mkdtemp(prefix="sonorant-"))
+    """``df`` checkpointed: computed once, so that all that reads it sees the same rows in the same partitions."""
+    shared_place(df.sparkSession)
     return df.checkpoint()

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def coalesced(events: DataFrame, key: str, gap_seconds: float, late: str = "10 minutes") -> DataFrame:
@@ -29,11 +30,11 @@ def call_sessions(frames: DataFrame, key: str, threshold: float, gap_seconds: fl
     return runs.where(F.col("n") >= least).drop("session_window")
 
 
-def over_new_files(spark: SparkSession, path: str, schema: str, plan: Callable[[DataFrame], DataFrame], out: str, log: str) -> DataFrame:
+def over_new_files(spark: SparkSession, path: str, schema: str | StructType, plan: Callable[[DataFrame], DataFrame], out: str, log: str, names: str = "*") -> DataFrame:
     """Run ``plan`` over what has arrived under ``path`` since the last call and append its closed windows to ``out``; returns all of ``out``.
 
-    ``log`` is the query's checkpoint, so a call that fails is made good by the next one.
+    ``log`` is the query's checkpoint, so a call that fails is made good by the next one. ``names``: a glob that file names must match.
     """
-    result = plan(spark.readStream.schema(schema).parquet(path))
+    result = plan(spark.readStream.schema(schema).option("pathGlobFilter", names).parquet(path))
     result.writeStream.format("parquet").option("path", out).option("checkpointLocation", log).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(result.schema).parquet(out)
