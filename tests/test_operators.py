@@ -250,3 +250,8 @@ def test_scalar_functions_of_edges(spark):
         numeric.or_zeros(F.array(F.lit(2.0)), 3).alias("some"), numeric.jittered(F.lit(1.0), 3).alias("j"), numeric.quantised(F.lit(9.0)).alias("q"),
     ).first()
     assert (row["flat"], row["none"], row["some"], row["q"]) == (0, [0.0] * 3, [2.0], 255) and 0 < abs(row["j"] - 1) < 1e-4
+
+
+def test_intervals_of_a_named_tier(spark):
+    row = spark.range(1).select(F.expr("array(named_struct('name', 'Calls', 'intervals', array(named_struct('minTime', 0d, 'maxTime', 1d, 'mark', ''), named_struct('minTime', 1d, 'maxTime', 1d, 'mark', 'x'))), named_struct('name', 'other', 'intervals', array(named_struct('minTime', 5d, 'maxTime', 6d, 'mark', 'y'))))").alias("t"))
+    assert [tuple(x)[:2] for x in row.select(intervals.class_labels(F.col("t"), "calls").alias("x")).first()["x"]] == [(0.0, 1.0)]
