@@ -114,7 +114,7 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray,
     return bins, place, np.array(loads, np.int64)
 
 
-def _round(df: DataFrame, level: int, capacity: int, last: bool, kind: str) -> DataFrame:
+def _round(df: DataFrame, level: int, capacity: int, kind: str) -> DataFrame:
     """Pack the bins (rows of one ``bin``) that each partition of ``df`` holds into new ones."""
 
     def packed(rows: pa.Table, spent: int, pid: int) -> pa.RecordBatch:
@@ -122,7 +122,7 @@ def _round(df: DataFrame, level: int, capacity: int, last: bool, kind: str) -> D
         sizes = np.zeros(len(old), np.int64)
         sizes[inverse] = rows["filled"].to_numpy()
         bins, place, loads = best_fit(sizes, capacity)
-        full = np.full(len(loads), last) | (loads >= capacity - SLACK)
+        full = loads >= capacity - SLACK
         new = (level << 58) + (pid << 32) + spent + bins[inverse]
         columns = [rows[c].combine_chunks() for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
         return pa.RecordBatch.from_arrays(
@@ -171,7 +171,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, fan_in: int = 8) -> DataFr
     level, leaves = 0, None
     done: list[DataFrame] = []
     while True:
-        now, _ = stage(_round(items, level, capacity, False, kind), f"packed{level}")
+        now, _ = stage(_round(items, level, capacity, kind), f"packed{level}")
         done.append(now.where("done"))
         rest = now.where("NOT done")
         left, tasks = rest.where("offset = 0").agg(F.count("*"), F.countDistinct(F.expr("shiftright(bin, 32)"))).first()
