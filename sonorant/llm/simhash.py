@@ -317,7 +317,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 #: Fingerprints of distinct words within this many bits and of shingles within that many make the first candidates.
 WORD_RADIUS, SHINGLE_RADIUS = 8, 20
 #: Shingles whose sets one side of a unit of verification holds, about (8 bytes each).
-LOT = 2_000_000
+LOT = 4_000_000
 #: Classes of shingles whose parities bound how many two texts do not share.
 ODD = 512
 
@@ -386,7 +386,7 @@ def _similar(pairs: DataFrame, docs: DataFrame, prints: DataFrame, text_col: str
     total = sets.agg(F.sum(F.size("s"))).first()[0] or 0
     lots = max(1, -(-total // LOT))
     lot = lambda c: F.pmod(F.xxhash64(c), F.lit(lots))
-    dealt = pairs.select("a", "b", (lot("a") * lots + lot("b")).alias("unit"))
+    dealt = pairs.select("a", "b", (F.least(lot("a"), lot("b")) * lots + F.greatest(lot("a"), lot("b"))).alias("unit"))
     asked = dealt.select(F.col("a").alias("node"), F.col("unit").alias("u")).unionByName(dealt.select(F.col("b").alias("node"), F.col("unit").alias("u"))).distinct()
 
     def check(left: pa.Table, right: pa.Table) -> pa.Table:
