@@ -44,6 +44,14 @@ def _encoding(ranks_path: str, pattern: str, mark: str, mark_id: int):
     return tiktoken.Encoding("pieces", pat_str=pattern, mergeable_ranks=load_ranks(ranks_path), special_tokens={mark: mark_id})
 
 
+def token_ids(column: pa.Array, ranks_path: str, pattern: str, mark: str = "<|endoftext|>", mark_id: int = 50256) -> Iterator[list[int]]:
+    """Ids of each text, null as empty; ``mark`` inside a text is its one special token, as in the vocabulary's own tokeniser."""
+    encoding = _encoding(ranks_path, pattern, mark, mark_id)
+    for text in column.to_pylist():
+        text = text or ""
+        yield encoding.encode(text, allowed_special="all") if mark in text else encoding.encode_ordinary(text)
+
+
 def piece_lengths(n: int, capacity: int) -> list[int]:
     """Lengths of the pieces of ``n`` tokens: whole if they fit, else a shorter first piece and full ones."""
     if n <= capacity:
@@ -54,21 +62,14 @@ def piece_lengths(n: int, capacity: int) -> list[int]:
 
 def tokenised_pieces(
     docs: DataFrame, ranks_path: str, pattern: str, end_id: int, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text",
-    mark: str = "<|endoftext|>", mark_id: int = 50256,
 ) -> DataFrame:
-    """Pieces of at most ``capacity`` tokens of every document, an end mark included.
-
-    ``mark`` inside a text is its one special token, as in the vocabulary's own tokeniser.
-    """
+    """Pieces of at most ``capacity`` tokens of every document, an end mark included."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = _encoding(ranks_path, pattern, mark, mark_id)
         for batch in batches:
-            rows, index, piece, start, length, crc = [], 0, [], [], [], []
-            for index, text in enumerate(batch.column(1).to_pylist()):
-                text = text or ""
-                ids = encoding.encode(text, allowed_special="all") if mark in text else encoding.encode_ordinary(text)
+            rows, piece, start, length, crc = [], [], [], [], []
+            for index, ids in enumerate(token_ids(batch.column(1), ranks_path, pattern)):
                 ids.append(end_id)
                 data, at = np.array(ids, "<u4").tobytes(), 0
                 for k, n in enumerate(piece_lengths(len(ids), capacity)):
