@@ -428,13 +428,20 @@ def bic_scan_diag(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def bic_scan_tied(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = vectors.standardised(clustering.pca(_vec(spark, sf_dir), "features", 12), "features")
-    return clustering.bic_scan(x, "features", range(2, 13), "tied")
+    return clustering.bic_scan(x, "features", range(2, 101), "tied")
+
+
+@query()
+def bic_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BIC of diagonal mixtures of 2 to 100 components on standardised features, and the thresholds each keeps."""
+    x = vectors.standardised(_vec(spark, sf_dir), "features")
+    return clustering.within(clustering.bic_scan(x, "features", range(2, 101), "diag"), [0.5, 1.0])
 
 
 @query()
 def bic_refit(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = vectors.standardised(clustering.pca(_vec(spark, sf_dir), "features", 12), "features")
-    return clustering.choose_and_refit(x, "features", range(2, 13), "tied", [0.5, 1.0]).select("thr", "k", "vec_id", "cluster", "probs")
+    return clustering.choose_and_refit(x, "features", range(2, 101), "tied", [0.5, 1.0]).select("thr", "k", "vec_id", "cluster", "probs")
 
 
 @query()
@@ -619,12 +626,12 @@ def silence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH e AS (SELECT user_id, epoch_us(ts) / 1e6 AS onset, epoch_us(ts) / 1e6 + 600 * value AS "offset" FROM events), lo AS (SELECT user_id, floor(min(onset) / 7200) * 7200 AS lo, max(onset) AS hi FROM e GROUP BY user_id),
-c AS (SELECT user_id, lo + 7200 * k AS start FROM lo, generate_series(0, 800) t(k) WHERE lo + 7200 * k <= hi), x AS (SELECT user_id, start, f, start + f * 600 AS t FROM c, generate_series(0, 11) g(f))
+c AS (SELECT user_id, lo + 7200 * unnest(generate_series(0, CAST(floor((hi - lo) / 7200) AS BIGINT))) AS start FROM lo), x AS (SELECT user_id, start, f, start + f * 600 AS t FROM c, generate_series(0, 11) g(f))
 SELECT x.user_id, start, CAST(f AS INT) AS f, CAST(bool_or(e.onset IS NOT NULL) AS INT) AS label FROM x LEFT JOIN e ON e.user_id = x.user_id AND e.onset <= x.t AND e."offset" >= x.t GROUP BY 1, 2, 3""")
 def clip_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _intervals(spark, sf_dir)
     span = e.groupBy("user_id").agg((F.floor(F.min("onset") / 7200) * 7200).cast("double").alias("lo"), F.max("onset").alias("hi"))
-    clips = span.select("user_id", F.explode(F.sequence(F.lit(0), F.floor((F.col("hi") - F.col("lo")) / 7200).cast("int"))).alias("k"), "lo").where("k <= 800").select("user_id", (F.col("lo") + 7200 * F.col("k")).alias("start"))
+    clips = span.select("user_id", F.explode(F.sequence(F.lit(0), F.floor((F.col("hi") - F.col("lo")) / 7200).cast("int"))).alias("k"), "lo").select("user_id", (F.col("lo") + 7200 * F.col("k")).alias("start"))
     out = intervals.clip_labels(e, clips, ["user_id"], frames=12, hop=600.0)
     return out.select("user_id", "start", F.posexplode("labels").alias("f", "label"))
 
@@ -671,6 +678,6 @@ def stream_call_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = f"{shared_place(spark)}/sessions-{uuid.uuid4().hex}"
     schema = _read(spark, sf_dir, "events").schema
     plan = lambda df: events.call_sessions(df.select("user_id", F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("score")), "user_id", 34.0, 21_600, 2)
-    closed = events.over_new_files(spark, sf_dir, schema, plan, f"{place}/out", f"{place}/log", "events.parquet")
+    closed = events.over_new_files(spark, f"{sf_dir}/events.parquet", schema, plan, f"{place}/out", f"{place}/log")
     at = lambda c: _epoch(f"cast({c} AS timestamp_ntz)").alias(c)
     return closed.select("user_id", at("onset"), at("last"), "n")

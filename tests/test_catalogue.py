@@ -33,7 +33,7 @@ def test_equals_sql(spark, duck, name):
     pd.testing.assert_frame_equal(got, want, check_dtype=False)
 
 
-@pytest.mark.parametrize("name", ["bic_scan_diag", "bic_scan_tied", "bic_refit", "event_metrics", "peak_count_distance", "explained_variance"])
+@pytest.mark.parametrize("name", ["bic_scan_diag", "bic_scan_tied", "bic_table", "bic_refit", "event_metrics", "peak_count_distance", "explained_variance"])
 def test_runs(spark, name):
     assert catalogue.QUERIES[name](spark, SF).count() > 0
 
@@ -78,3 +78,15 @@ def test_components_equal_a_singular_value_decomposition(spark, duck):
 def test_leaves_are_bounded(spark):
     leaves = catalogue.QUERIES["size_bounded_tree"](spark, SF).groupBy("leaf").count().collect()
     assert max(r["count"] for r in leaves) <= sum(r["count"] for r in leaves) // 6
+
+
+def test_queries_read_folders_of_files_and_all_of_a_long_recording(spark, tmp_path):
+    """The events as a folder of parts, a part of them more than a year later."""
+    later = spark.read.parquet(f"{SF}/events.parquet").selectExpr("event_id", "CASE WHEN event_id % 50 = 0 THEN ts + INTERVAL 400 DAYS ELSE ts END AS ts", "user_id", "event_type", "value", "props")
+    later.repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    for name in ("stream_call_sessions", "clip_labels"):
+        got, want = ordered(catalogue.QUERIES[name](spark, str(tmp_path)).toPandas()), ordered(con.sql(catalogue.SQL[name]).df())
+        assert len(got) and (name != "clip_labels" or got["start"].max() - got["start"].min() > 400 * 86_400)
+        pd.testing.assert_frame_equal(got, want, check_dtype=False)
