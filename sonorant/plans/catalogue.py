@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric, text
-from ..operators import clustering, intervals, relational, runs, sequences, smoothing, vectors
+from ..operators import clustering, density, intervals, layouts, neighbours, relational, runs, sequences, smoothing, vectors
 from ..session import shared_place
 from ..sources import audio
 from ..streaming import events
@@ -444,6 +444,41 @@ def bic_refit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.choose_and_refit(x, "features", range(2, 101), "tied", [0.5, 1.0]).select("thr", "k", "vec_id", "cluster", "probs")
 
 
+@query()
+def density_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Density clusters of standardised components: -1 is noise."""
+    x = vectors.standardised(clustering.pca(_vec(spark, sf_dir), "features", 8), "features")
+    done = density.hdbscan(x, "vec_id", "features", least=20, samples=10)
+    return done.select(F.col("id").alias("vec_id"), "cluster", "probability", "members")
+
+
+@query()
+def fuzzy_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two-dimensional layout that keeps the fuzzy neighbourhoods of the features."""
+    v = _vec(spark, sf_dir)
+    near = neighbours.descent(v, "vec_id", "features", 15)
+    return layouts.umap(v, "vec_id", "features", near).select(F.col("id").alias("vec_id"), "x", "y")
+
+
+@query()
+def stochastic_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two-dimensional layout that keeps the chances of being neighbours, perplexity 20."""
+    v = _vec(spark, sf_dir)
+    near = neighbours.descent(v, "vec_id", "features", 60, rounds=2)
+    return layouts.tsne(v, "vec_id", "features", near, perplexity=20.0).select(F.col("id").alias("vec_id"), "x", "y")
+
+
+@query()
+def neighbour_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact nearest neighbours of the rows whose id is divisible by 50, and how many of them neighbour descent over all rows finds."""
+    v = _vec(spark, sf_dir)
+    cells = neighbours.Cells(v, "vec_id", "features")
+    exact = neighbours.nearest(v, "vec_id", "features", 10, v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("id")), cells)
+    found = neighbours.descent(v, "vec_id", "features", 10, cells=cells).select("id", F.transform("near", lambda p: p["j"]).alias("found"))
+    js = F.transform("near", lambda p: p["j"])
+    return exact.join(found, "id").select(F.col("id").alias("vec_id"), js.alias("neighbours"), F.size(F.array_intersect(js, F.col("found"))).alias("hits"))
+
+
 @query()
 def top_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _vec(spark, sf_dir).select("vec_id", *[F.get("features", i).alias(f"h{i + 1}") for i in range(12)])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,3 +42,14 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` checkpointed: computed once, so that all that reads it sees the same rows in the same partitions."""
     shared_place(df.sparkSession)
     return df.checkpoint()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again.
+
+    For loops: a checkpoint still carries what the optimiser knows of its columns, which can double with
+    every round of joins; a table read again knows its schema alone.
+    """
+    path = f"{shared_place(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
