@@ -3,9 +3,14 @@
 Strong patterns are always reported. Weak candidates (user or key identifiers,
 long mixed blobs, endpoints) mean little alone, so they are interval-joined with
 the other parts of the same scope, a paragraph of a text: an identifier or an
-endpoint counts only with a secret part at most ``NEAR`` code points away, a blob
-only with an identifier or an endpoint. All parts of a kind are leftmost and
-non-overlapping; a weak candidate that overlaps a strong span is dropped.
+endpoint counts only with a secret part beside it in the scope, a blob only with an
+identifier or an endpoint. All parts of a kind are leftmost and non-overlapping; a
+weak candidate that overlaps a strong span is dropped.
+
+The join is a sweep over a text's parts in order: a part stands wholly before or behind a
+candidate exactly if the least end of such parts in the scope is not beyond the candidate's
+start, or their greatest start not before its end; a strong span overlaps it if one that began
+reaches into it or the next one begins within it. So no pairs are made, however far apart parts are.
 
 Spans depend on the text alone: each distinct text is worked on once and joined
 back to all rows that hold it. A null or empty text has no span. Repeated rows and
@@ -15,21 +20,21 @@ gives no rows. Patterns read a text in time linear in its length, however long.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import salted_join
 
-#: Code points between complementary parts, at most.
-NEAR = 200
-
 # kind, pattern, least length, group the length is that of; in the order of equal starts
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 STRONG = [("assign", ASSIGN, 6, 2), ("access", r"AKIA[A-Z0-9]+", 20, 0), ("hex", r"[0-9a-f]{24,}", 24, 0)]
 WEAK = [
-    ("ident", r"""\b(?i:(?:[a-z0-9]+_){0,6}(?:(?:access|account|client|key|user)_?(?:key_?)?id|user(?:name)?|login))["']?\x20*[:=]\x20*["']?([A-Za-z0-9@_.-]+)""", 3, 1),
+    ("ident", r"""(?<![A-Za-z0-9_])(?i:(?:[a-z0-9_]*_)?(?:(?:access|account|client|key|user)_?(?:key_?)?id|user(?:name)?|login))["']?\x20*[:=]\x20*["']?([A-Za-z0-9@_.-]+)""", 3, 1),
     ("blob", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}", 32, 0),  # with a digit, which is asked for later: a look ahead would read long runs again and again
-    ("endpoint", r"""\b(?:(?:https?|ftp|amqp|redis|mongodb|mysql|postgres(?:ql)?|s3)://[^\s"'<>]+|(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b)""", 7, 0),
+    ("endpoint", r"""(?<![A-Za-z0-9_])(?:(?:https?|ftp|amqp|redis|mongodb|mysql|postgres(?:ql)?|s3)://[^\s"'<>]+|(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![A-Za-z0-9_]))""", 7, 0),
 ]
 BREAK = r"\n[\x20\t\r]*\n"
 KINDS = [k for k, *_ in STRONG + WEAK]
@@ -81,23 +86,17 @@ def text_spans(texts: DataFrame) -> DataFrame:
         placed.where(enough).withColumn("scope", F.sum((F.col("kind") == "break").cast("int")).over(scope)).where("kind <> 'break'")
         .select("key", "kind", "scope", "start", "end", rank.alias("rank"), role[F.col("kind")].alias("role"))
     )
-    # the interval join: parts lie in buckets of NEAR code points, widened by NEAR on the side that is looked for
-    bucketed = lambda d, by: d.withColumn("bucket", F.explode(F.sequence(F.floor((F.col("start") - by) / NEAR), F.floor((F.col("end") + by) / NEAR))))
-    strong = [k for k, *_ in STRONG]
-    weak = bucketed(spans.where(~F.col("kind").isin(strong)), 0)
-    other = bucketed(spans, NEAR).select("key", "scope", "bucket", F.col("role").alias("r"), F.col("kind").alias("k"), F.col("start").alias("s"), F.col("end").alias("e"))
-    same = ["key", "scope", "bucket"]
-    over = (F.col("s") < F.col("end")) & (F.col("start") < F.col("e"))
-    near = (F.col("s") - F.col("end") <= NEAR) & (F.col("start") - F.col("e") <= NEAR)
-    wanted = F.lit(False)
+    strong = F.col("rank") <= len(STRONG)
+    text, own = Window.partitionBy("key").orderBy("start"), Window.partitionBy("key", "scope")
+    reach = F.max(F.when(strong, F.col("end"))).over(text.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    ahead = F.min(F.when(strong, F.col("start"))).over(text.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    hidden = F.coalesce(reach > F.col("start"), F.lit(False)) | F.coalesce(ahead < F.col("end"), F.lit(False))
+    beside = lambda r: F.coalesce(F.min(F.when(F.col("role") == r, F.col("end"))).over(own) <= F.col("start"), F.lit(False)) | F.coalesce(F.max(F.when(F.col("role") == r, F.col("start"))).over(own) >= F.col("end"), F.lit(False))
+    joined_ = spans.withColumn("hidden", hidden).withColumns({f"by_{r}": beside(r) for r in sorted({r for rs in NEEDS.values() for r in rs})})
+    linked = F.lit(False)
     for kind, roles in NEEDS.items():
-        wanted = wanted | ((F.col("kind") == kind) & F.col("r").isin(roles))
-    a, b = weak.alias("a"), other.alias("b")
-    keys = (F.col("a.key") == F.col("b.key")) & (F.col("a.scope") == F.col("b.scope")) & (F.col("a.bucket") == F.col("b.bucket"))
-    hidden = weak.alias("a").join(other.where(F.col("k").isin(strong)).alias("b"), keys & over, "left_semi").select("key", "kind", "start").distinct()
-    linked = a.join(b, keys & near & ~over & wanted, "left_semi").drop(*same[2:]).distinct()
-    linked = linked.join(hidden, ["key", "kind", "start"], "left_anti")
-    final = spans.where(F.col("kind").isin(strong)).unionByName(linked.select(spans.columns))
+        linked = linked | ((F.col("kind") == kind) & reduce(or_, [F.col(f"by_{r}") for r in roles]))
+    final = joined_.where(strong | (linked & ~F.col("hidden")))
     return final.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "end", "kind"))).alias("spans"))  # bounded by one text
 
 

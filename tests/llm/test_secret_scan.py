@@ -38,11 +38,11 @@ def test_weak_parts_need_their_complement(docs_of):
     blob = "Ab9" * 12
     texts = [
         f"login=alice then {blob}", "login=alice alone", f"{blob} alone", "see postgres://db.example.com/x alone",
-        "postgres://db.example.com/x password=hunter22", f"login=alice\n\n{blob}", "login=alice " + "z " * 200 + blob, "password=hunter22 10.0.0.1",
+        "postgres://db.example.com/x password=hunter22", f"login=alice\n\n{blob}", "login=alice " + "z " * 900 + blob, "password=hunter22 10.0.0.1",
     ]
     got = spans(docs_of(texts))
     kinds = [[k for *_, k in got[i]] for i in range(len(texts))]
-    assert kinds == [["ident", "blob"], [], [], [], ["endpoint", "assign"], [], [], ["assign", "endpoint"]]
+    assert kinds == [["ident", "blob"], [], [], [], ["endpoint", "assign"], [], ["ident", "blob"], ["assign", "endpoint"]]
 
 
 def test_repeated_rows_extra_columns_and_empty_table(docs_of):
@@ -76,3 +76,39 @@ def test_long_runs_take_linear_time_and_names_may_clash(spark):
     done = {r["doc_id"]: r for r in S.cleaned(docs).collect()}
     assert done[2]["text"] == "[secret]" and done[3]["text"] is None and tuple(done[0])[2:] == tuple(range(len(names)))
     assert time.time() - began < 60
+
+
+def parts_of(text):
+    """All parts by kind, as (start, end, kind), with what each needs to be a part at all."""
+    out = []
+    for kind, pattern, least, group in S.STRONG + S.WEAK:
+        for m in re.compile(pattern, re.A).finditer(text):
+            long_enough = len(m[group]) >= least if group or kind in ("access", "endpoint", "hex") else any(c in "0123456789" for c in m[0])
+            out += [(m.start(), m.end(), kind)] * long_enough
+    return out
+
+
+def brute(text):
+    """Every pair of parts of a scope is looked at."""
+    parts, breaks = parts_of(text), [m.start() for m in re.finditer(S.BREAK, text)]
+    strong = [k for k, *_ in S.STRONG]
+    scope = lambda p: sum(b <= p[0] for b in breaks)
+    apart = lambda p, q: p[1] <= q[0] or q[1] <= p[0]
+    out = []
+    for p in parts:
+        weak_ok = p[2] in S.NEEDS and any(S.ROLE[q[2]] in S.NEEDS[p[2]] and scope(q) == scope(p) and apart(p, q) for q in parts if q is not p)
+        if p[2] in strong or weak_ok and all(apart(p, q) for q in parts if q[2] in strong):
+            out.append(p)
+    return sorted(out, key=lambda p: (p[0], S.KINDS.index(p[2])))
+
+
+def test_linking_equals_all_pairs(docs_of):
+    rng = random.Random(11)
+    bits = ["login=alice", "user_id: 77x", "DB_CLIENT_KEY_ID=abc", "Ab9" * 11, "password=hunter22", "AKIA" + "Z7" * 9, "0a" * 13, "https://db.example.com/x?token=abcdefgh", "10.0.0.1", "plain words", "\n\n", "\n \t\n", "é", "secret: " + "Q8" * 20, " "]
+    texts = [rng.choice([" ", "", ", "]).join(rng.choice(bits) for _ in range(rng.randint(1, 14))) for _ in range(500)]
+    got = spans(docs_of(texts))
+    found = 0
+    for i, t in enumerate(texts):
+        assert got[i] == brute(t), t
+        found += sum(k in S.NEEDS for *_, k in got[i])
+    assert found > 300
