@@ -18,9 +18,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._common import maybe_in, salted_join
+
 BUCKETS = 1 << 14
-#: Rules are compared one by one, so a table of them is bounded.
-MOST_RULES = 2000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 # The default labelled table is built from these words by a rule.
@@ -98,35 +98,48 @@ def _split(urls: DataFrame, url_col: str) -> DataFrame:
     return urls.withColumn("_host", host).withColumn("_path", path)
 
 
-def _rule(rules: list[tuple[str, str, str]]) -> Column:
-    """The longest fitting rule as (name, verdict), or null."""
-    if not rules:
-        return F.lit(None).cast("struct<name:string,verdict:string>")
-    fits = None
-    for host, path, verdict in sorted(rules, key=lambda r: (-len(r[0] + r[1]), r)):
-        hit = ((F.col("_host") == host) | F.endswith(F.col("_host"), F.lit("." + host))) & F.startswith(F.col("_path"), F.lit(path))
-        found = F.struct(F.lit(host + path).alias("name"), F.lit(verdict).alias("verdict"))
-        fits = F.when(hit, found) if fits is None else fits.when(hit, found)
-    return fits
+def _labels(host: Column) -> Column:
+    return F.size(F.split(host, "\\."))
+
 
+def longest_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """``(_host, _path, rule, rule_verdict)`` of the distinct hosts and paths that a rule ``(host, path, verdict)`` fits: the longest.
 
-def judge(urls: DataFrame, rules: list[tuple[str, str, str]], labels: DataFrame, url_col: str = "url", id_col: str = "page_id") -> DataFrame:
-    """``(id, host, path, rule, verdict, score)``; ``rules``: (host, path, "block" or "allow"), the longest that fits wins.
+    Rules have few shapes (labels of the host, length of the path). A url is cut once for each
+    shape it can have and joined on equal host and path, so the cost does not follow the number of rules;
+    of equally long rules the least host counts, of equal rules ``allow``.
+    """
+    own = rules.select("host", "path", "verdict").where("host IS NOT NULL AND path IS NOT NULL").groupBy("host", "path").agg(F.min("verdict").alias("verdict"))
+    shapes = own.select(_labels(F.col("host")).alias("n"), F.length("path").alias("m")).distinct().collect()
+    if not shapes:
+        return urls.select("_host", "_path", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("rule_verdict")).limit(0)
+    shape = F.explode(F.filter(F.array(*[F.struct(F.lit(r["n"]).alias("n"), F.lit(r["m"]).alias("m")) for r in shapes]), lambda x: (x["n"] <= _labels(F.col("_host"))) & (x["m"] <= F.length("_path"))))
+    cuts = urls.select("_host", "_path").distinct().select("*", shape.alias("_s")).select("_host", "_path", F.call_function("substring_index", "_host", F.lit("."), -F.col("_s.n")).alias("host"), F.left("_path", F.col("_s.m")).alias("path"))
+    keyed = lambda df: df.withColumn("key", F.xxhash64("host", "path"))
+    own = keyed(own)
+    fits = maybe_in(keyed(cuts), own).join(own.drop("key"), ["host", "path"])
+    first = F.struct((-F.length("host") - F.length("path")).alias("l"), "host", "path", "verdict")
+    return fits.groupBy("_host", "_path").agg(F.min(first).alias("r")).select("_host", "_path", F.concat("r.host", "r.path").alias("rule"), F.col("r.verdict").alias("rule_verdict"))
+
+
+def judge(urls: DataFrame, rules: list[tuple[str, str, str]] | DataFrame, labels: DataFrame, url_col: str = "url", id_col: str = "page_id") -> DataFrame:
+    """``(id, host, path, rule, verdict, score)``; ``rules``: (host, path, "block" or "allow"), a list or a table of any size; the longest that fits wins.
 
     A rule fits its host and all subdomains, if the url's path starts with the
     rule's. ``score``: the model's probability that the url is to be blocked.
     """
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules")
     known = _featured(_split(labels.where(f"{url_col} IS NOT NULL AND label IS NOT NULL").select(F.col(url_col), F.col("label").cast("double").alias("label")), url_col))
+    known = known.select("label", "_features").coalesce(1).persist()  # a small table, read in every step of the fit
     rows = _split(urls.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")), "url")
+    if not isinstance(rules, DataFrame):
+        rules = urls.sparkSession.createDataFrame(list(rules), "host string, path string, verdict string")
+    ruled = salted_join(rows, longest_rules(rows, rules), ["_host", "_path"], "left")
     kinds = [r["label"] for r in known.select("label").distinct().limit(3).collect()]
     if len(kinds) > 1:
-        model = LogisticRegression(featuresCol="_features", labelCol="label", maxIter=60, regParam=0.0001, standardization=False).fit(known.coalesce(1))
-        scored = model.transform(_featured(rows)).withColumn("score", vector_to_array("probability")[1])
+        model = LogisticRegression(featuresCol="_features", labelCol="label", maxIter=60, regParam=0.0001, standardization=False).fit(known)
+        scored = model.transform(_featured(ruled)).withColumn("score", vector_to_array("probability")[1])
     else:
-        scored = rows.withColumn("score", F.lit(kinds[0] if kinds else 0.0))
-    return scored.withColumn("_rule", _rule(rules)).select(
-        "id", F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule.name").alias("rule"),
-        F.coalesce("_rule.verdict", F.when(F.col("score") >= 0.5, "block").otherwise("allow")).alias("verdict"), "score",
-    )
+        scored = ruled.withColumn("score", F.lit(kinds[0] if kinds else 0.0))
+    known.unpersist()
+    verdict = F.coalesce("rule_verdict", F.when(F.col("score") >= 0.5, "block").otherwise("allow"))
+    return scored.select("id", F.col("_host").alias("host"), F.col("_path").alias("path"), "rule", verdict.alias("verdict"), "score")

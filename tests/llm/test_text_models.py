@@ -169,6 +169,54 @@ def test_url_rules_and_model(spark):
     assert url_filter.judge(df, [], none).where("verdict = 'block'").count() == 0
 
 
+def test_many_rules_equal_a_plain_scan(spark):
+    """Thousands of rules of many shapes, a very long url, repeated and null urls."""
+    rng = random.Random(3)
+    part = lambda: rng.choice(["a", "b", "example", "com", "net", "x-y"])
+    rules = [(".".join(part() for _ in range(rng.randint(1, 3))), "/" + "".join(rng.choice("ab/") for _ in range(rng.randint(0, 7))), rng.choice(["allow", "block"])) for _ in range(3000)]
+    urls = [f"http://{'.'.join(part() for _ in range(rng.randint(1, 5)))}/{''.join(rng.choice('ab/') for _ in range(rng.randint(0, 9)))}" for _ in range(400)]
+    urls += [urls[0]] * 50 + [None, "", "nothing", "http://" + "a." * 3000 + "com/" + "ab/" * 20_000]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    for table in (rules, spark.createDataFrame(rules, "host string, path string, verdict string")):
+        got = {r["id"]: r for r in url_filter.judge(df, table, url_filter.default_labels(spark).limit(0)).collect()}
+        assert len(got) == len(urls)
+    hits = 0
+    for i, u in enumerate(urls):
+        host, path = got[i]["host"], got[i]["path"]
+        assert ((u or "").partition("://")[2] == host + path) and u != "" or (host, path) == ("", "")
+        fits = [(-len(h + p), h, p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        want = min(fits, default=None)
+        assert (got[i]["rule"], got[i]["verdict"]) == ((want[1] + want[2], want[3]) if want else (None, "allow")), u
+        hits += want is not None
+    assert hits > 200
+
+
+def test_hashed_grams_equal_a_plain_count(spark):
+    """The model's features: distinct 3- to 5-grams of host and path between end marks, hashed."""
+    df = spark.createDataFrame([("https://Ab.com/x1é",), ("http://h",), (None,)], "url string")
+    rows = url_filter._featured(url_filter._split(df, "url")).select("_grams", "_features").collect()
+
+    def grams(text, mark):
+        text = f"^{text}$" if text else ""
+        return [mark + text[i : i + n] for n in (3, 4, 5) for i in range(len(text) - n + 1)]
+    for r, (host, path) in zip(rows, [("ab.com", "/x1é"), ("h", ""), ("", "")], strict=True):
+        assert sorted(r["_grams"]) == sorted(grams(host, "h") + grams(path, "p"))
+        assert set(r["_features"].values) <= {1.0} and len(r["_features"].indices) <= len(set(r["_grams"]))
+
+
+def test_held_out_words(spark):
+    """Words of either kind that stand in no url of the fit: what is left are their companions and paths, which tell little."""
+    labels = url_filter.default_labels(spark).cache()
+    words = [(w, 1.0) for w in url_filter.BLOCK_WORDS[::4]] + [(w, 0.0) for w in url_filter.ALLOW_WORDS[::4]]
+    out = F.lit(False)
+    for w, _ in words:
+        out = out | F.contains("url", F.lit(w))
+    held = labels.where(out).withColumn("page_id", F.monotonically_increasing_id()).cache()
+    got = url_filter.judge(held, [], labels.where(~out)).join(held.withColumnRenamed("page_id", "id"), "id").selectExpr("verdict = 'block' AS b", "label = 1 AS t").collect()
+    clean = [r["b"] for r in got if not r["t"]]
+    assert len(got) > 100 and sum(clean) <= 0.1 * len(clean)  # an unknown word is no reason to block
+
+
 SMALL = "/root/testdata/sf0.01"
 
 
