@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric, text
-from ..operators import clustering, density, intervals, layouts, neighbours, relational, runs, sequences, smoothing, vectors
+from ..operators import clustering, density, dirichlet, intervals, layouts, neighbours, relational, runs, sequences, smoothing, vectors
 from ..session import shared_place
 from ..sources import audio
-from ..streaming import events
+from ..streaming import events, stateful
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -444,6 +444,13 @@ def bic_refit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.choose_and_refit(x, "features", range(2, 101), "tied", [0.5, 1.0]).select("thr", "k", "vec_id", "cluster", "probs")
 
 
+@query()
+def dirichlet_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster and shares of a Dirichlet-process mixture of at most 20 components on standardised components."""
+    x = vectors.standardised(clustering.pca(_vec(spark, sf_dir), "features", 8), "features").persist()
+    return dirichlet.assigned(x, "features", dirichlet.fit(x, "features", 20)).select("vec_id", "cluster", "probs")
+
+
 @query()
 def density_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Density clusters of standardised components: -1 is noise."""
@@ -468,6 +475,14 @@ def stochastic_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layouts.tsne(v, "vec_id", "features", near, perplexity=20.0).select(F.col("id").alias("vec_id"), "x", "y")
 
 
+@query(f"""WITH {_VEC}, d AS (SELECT a.vec_id, b.vec_id AS j, list_distance(a.e, b.e) AS d FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, j) AS rank FROM d)
+SELECT vec_id, CAST(rank AS INT) AS rank, j, round(d, 6) AS d FROM r WHERE rank <= 10""")
+def exact_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _vec(spark, sf_dir)
+    found = neighbours.nearest(v, "vec_id", "features", 10, v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("id")))
+    return found.select(F.col("id").alias("vec_id"), F.posexplode("near").alias("rank", "n")).select("vec_id", (F.col("rank") + 1).alias("rank"), "n.j", F.round("n.d", 6).alias("d"))
+
+
 @query()
 def neighbour_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact nearest neighbours of the rows whose id is divisible by 50, and how many of them neighbour descent over all rows finds."""
@@ -701,7 +716,29 @@ def sequence_length_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("role", *[F.round(c, 9).alias(c) for c in q.columns if c != "role"])
 
 
-# streams
+# streams and table functions
+
+
+_RUNS = f"WITH {F_SQL}" + _HYSTERESIS[: _HYSTERESIS.index("\nSELECT")].format(t=34, gap=2) + " SELECT {key}, row_number() OVER (PARTITION BY user_id ORDER BY start_f) AS seg, start_f, end_f FROM k"
+
+
+@query(_RUNS.format(key="user_id"))
+def stream_call_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs with gap tolerance from a stream: the frames arrive in files out of order, in several micro-batches, with a marker at each recording's end."""
+    place = f"{shared_place(spark)}/runs-{uuid.uuid4().hex}"
+    frames = _frames(spark, sf_dir).select("user_id", "i", (F.col("value") > 34).alias("active"))
+    marks = frames.groupBy("user_id").agg(F.max("i").alias("last"))
+    rows = frames.withColumn("last", F.lit(None).cast("bigint")).unionByName(marks.select("user_id", F.lit(None).cast("bigint").alias("i"), F.lit(None).cast("boolean").alias("active"), "last"))
+    rows.repartition(6, F.xxhash64("user_id", "i")).write.parquet(f"{place}/in")
+    return events.over_new_files(spark, f"{place}/in", rows.schema, lambda df: stateful.runs_of_stream(df, "user_id", 2, 2), f"{place}/out", f"{place}/log", files_at_once=2)
+
+
+@query(_RUNS.format(key="CAST(user_id AS VARCHAR) AS recording"))
+def table_function_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs with gap tolerance from a table function called in SQL, a partition for each recording."""
+    stateful.register(spark)
+    frames = _frames(spark, sf_dir).select(F.col("user_id").cast("string").alias("recording"), "i", (F.col("value") > 34).alias("active"))
+    return spark.sql("SELECT * FROM segments(TABLE(SELECT * FROM {frames}) PARTITION BY (recording) ORDER BY (i), 2, 2)", frames=frames)
 
 
 @query("""WITH a AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events WHERE value > 34), m AS (SELECT max(ts) - INTERVAL 10 MINUTE AS w FROM a),

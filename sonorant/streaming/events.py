@@ -30,14 +30,14 @@ def call_sessions(frames: DataFrame, key: str, threshold: float, gap_seconds: fl
     return runs.where(F.col("n") >= least).drop("session_window")
 
 
-def over_new_files(spark: SparkSession, path: str, schema: str | StructType, plan: Callable[[DataFrame], DataFrame], out: str, log: str) -> DataFrame:
+def over_new_files(spark: SparkSession, path: str, schema: str | StructType, plan: Callable[[DataFrame], DataFrame], out: str, log: str, files_at_once: int = 1000) -> DataFrame:
     """Run ``plan`` over what has arrived under ``path`` since the last call and append its closed windows to ``out``; returns all of ``out``.
 
     ``path`` is a folder of files or one file; ``log`` the query's checkpoint, so a call
-    that fails is made good by the next one. A path with nothing behind it is an error.
+    that fails is made good by the next one; ``files_at_once`` make a micro-batch. A path with nothing behind it is an error.
     """
     folder, _, name = path.rstrip("/").rpartition("/")
-    files = spark.readStream.schema(schema).parquet(f"{folder}/{{{name}}}")  # as a pattern of one name: a stream takes no plain path of a file
+    files = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).parquet(f"{folder}/{{{name}}}")  # as a pattern of one name: a stream takes no plain path of a file
     result = plan(files)
     result.writeStream.format("parquet").option("path", out).option("checkpointLocation", log).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(result.schema).parquet(out)

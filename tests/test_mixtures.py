@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from sonorant.operators import _sums, clustering
+from sonorant.operators import _sums, clustering, dirichlet
 
 
 @pytest.fixture(scope="module")
@@ -72,3 +72,32 @@ def test_sums_are_added_in_a_tree(spark, monkeypatch):
     df = spark.range(1000).selectExpr("array(cast(id as double), 1d) AS x").repartition(11)
     got = _sums.totals(df, 10, lambda b: np.repeat(_sums.matrix(b.column(0)).sum(axis=0), 5))
     assert got.tolist() == [499500.0] * 5 + [1000.0] * 5
+
+
+def test_dirichlet_process_drops_components_and_its_bound_never_falls(blobs):
+    x, df = blobs
+    seen = []
+    p = dirichlet.fit(df, "features", 8, watch=seen.append, tol=1e-5)
+    assert all(b >= a - 1e-6 * abs(a) for a, b in zip(seen, seen[1:], strict=False)) and p.settled and len(seen) == p.rounds > 2
+    w = p.weights()
+    assert (w > 0.05).sum() == 3 and np.isclose(w.sum(), 1, atol=0.05)
+    rows = sorted(dirichlet.assigned(df, "features", p).collect(), key=lambda r: r["id"])
+    label = np.array([r["cluster"] for r in rows])
+    for part in (slice(0, 120), slice(120, 220), slice(220, 300)):
+        assert np.bincount(label[part]).max() >= 0.95 * len(label[part])
+    assert all(np.isclose(sum(r["probs"]), 1) for r in rows)
+
+
+def test_dirichlet_posteriors_equal_the_formulas_for_one_component(spark):
+    x = np.random.default_rng(0).normal([1, -2], [1, 3], (50, 2))
+    df = spark.createDataFrame([(v.tolist(),) for v in x], "features array<double>")
+    p = dirichlet.fit(df, "features", 1)
+    cov = np.cov(x.T, bias=True) + 1e-6 * np.eye(2)
+    assert np.allclose(p.m[0], x.mean(axis=0)) and p.kappa[0] == 51 and p.nu[0] == 52
+    assert np.allclose(p.inverse[0], 2 * cov + (x - x.mean(axis=0)).T @ (x - x.mean(axis=0)))
+    # with one component the bound is the exact evidence
+    d, n = 2, 50
+    evidence = -0.5 * n * d * np.log(np.pi) + 0.5 * d * np.log(1 / 51) + 0.5 * 2 * np.linalg.slogdet(2 * cov)[1] - 0.5 * 52 * np.linalg.slogdet(p.inverse[0])[1]
+    evidence += sum(dirichlet.log_gamma(np.array([(52 - i) / 2]))[0] - dirichlet.log_gamma(np.array([(2 - i) / 2]))[0] for i in range(d))
+    sticks = dirichlet.log_gamma(np.array([51.0]))[0] + dirichlet.log_gamma(np.array([1.0 + 1]))[0] - dirichlet.log_gamma(np.array([52.0]))[0]  # the share of the only stick is integrated out
+    assert np.isclose(p.bound, evidence + sticks, rtol=1e-6)
