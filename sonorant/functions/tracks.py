@@ -37,7 +37,7 @@ def _smoothed(mask: np.ndarray, width: int, axis: int) -> np.ndarray:
     return np.apply_along_axis(lambda v: np.convolve(v, weights, "valid"), axis, padded)
 
 
-def gated(x: np.ndarray, rate: float, size: int = 1024, hop: int = 256, deviations: float = 1.5, soft: float = 3.0, most: float = 1.0, band: float = 500.0, time: float = 0.05, noise: np.ndarray | None = None) -> np.ndarray:
+def gated(x: np.ndarray, rate: float, size: int = 1024, hop: int = 256, deviations: float = 1.5, soft: float = 3.0, most: float = 1.0, band: float = 100.0, time: float = 0.05, noise: np.ndarray | None = None) -> np.ndarray:
     """``x`` with what is not above the noise of its band turned down.
 
     A band's noise level is the median of its decibels plus ``deviations`` deviations (1.4826 times the median one), over
