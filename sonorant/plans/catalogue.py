@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric, text
-from ..operators import clustering, density, dirichlet, intervals, layouts, neighbours, relational, runs, sequences, smoothing, vectors
+from ..operators import clustering, density, dirichlet, heads, intervals, layouts, neighbours, relational, runs, sequences, smoothing, surfaces, vectors
 from ..session import shared_place
 from ..sources import audio
 from ..streaming import events, stateful
@@ -716,6 +716,24 @@ def sequence_length_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("role", *[F.round(c, 9).alias(c) for c in q.columns if c != "role"])
 
 
+@query(f"""WITH {_VEC}, p AS (SELECT label, e[1] AS x, e[2] AS y FROM v), m AS (SELECT label, count(*) AS n, stddev_samp(x) * pow(count(*), -1 / 6.0::DOUBLE) * 0.5 AS hx, stddev_samp(y) * pow(count(*), -1 / 6.0::DOUBLE) * 0.5 AS hy, min(x) AS ax, max(x) AS zx, min(y) AS ay, max(y) AS zy FROM p GROUP BY label HAVING count(*) >= 10),
+g AS (SELECT label, n, hx, hy, ax - 3 * hx AS lox, (zx - ax + 6 * hx) / 24 AS sx, ay - 3 * hy AS loy, (zy - ay + 6 * hy) / 24 AS sy FROM m), b AS (SELECT label, least(floor((x - lox) / sx), 23) AS bx, least(floor((y - loy) / sy), 23) AS byy, count(*) AS w FROM p JOIN g USING (label) GROUP BY 1, 2, 3)
+SELECT label, CAST(i AS INT) AS gx, CAST(j AS INT) AS gy, round(sum(w * exp(-0.5 * pow((i - bx) * sx / hx, 2)) * exp(-0.5 * pow((j - byy) * sy / hy, 2))) / (any_value(n) * 2 * pi() * any_value(hx) * any_value(hy)), 6) AS density
+FROM b JOIN g USING (label), generate_series(0, 23) a(i), generate_series(0, 23) c(j) GROUP BY 1, 2, 3""")
+def label_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kernel density of the first two features for each label, on a grid of 24 by 24."""
+    v = _vec(spark, sf_dir).select("label", F.get("features", 0).alias("x"), F.get("features", 1).alias("y"))
+    return surfaces.kernel_density(v, "label", "x", "y", bins=24).select("label", "gx", "gy", F.round("density", 6).alias("density"))
+
+
+@query()
+def head_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels that a head, fitted on four fifths of the vectors, gives to all of them."""
+    v = _vec(spark, sf_dir).withColumn("labels", F.array(*[(F.col("label") == i).cast("int") for i in range(10)])).withColumn("weight", F.when(F.col("label") < 3, 5.0).otherwise(1.0))
+    coef = heads.fit(v.where("vec_id % 5 <> 0"), "features", "labels", "weight")
+    return heads.scored(v, "features", coef).select("vec_id", (F.col("vec_id") % 5 == 0).alias("held_out"), "label", numeric.head_class(F.col("logits")).alias("head_class"))
+
+
 # streams and table functions
 
 
