@@ -154,6 +154,11 @@ def peak_counts(df: DataFrame, height: float = 0.3, distance: int = 5) -> DataFr
     return _mapped(df, record, "filename string, n int, error string")
 
 
+def tracked(df: DataFrame, track: Callable[[np.ndarray, int], np.ndarray]) -> DataFrame:
+    """``(filename, track, error)``: any function of (samples, rate) to a row of numbers, such as those of ``dsp`` and ``tracks``; a matrix is read by rows."""
+    return _mapped(df, lambda x, rate: {"track": np.asarray(track(x, rate), float).ravel().tolist()}, "filename string, track array<double>, error string")
+
+
 def embedded(df: DataFrame, encoder: Callable[[np.ndarray, int], np.ndarray], pool: str = "mean", eps: float = 1e-12) -> DataFrame:
     """``(filename, log_duration, features, error)`` by any encoder of (samples, rate) to (windows, d); no model ships with the library."""
 

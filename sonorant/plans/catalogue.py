@@ -5,10 +5,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import numeric, text
+from ..functions import calls, dsp, numeric, text
 from ..operators import clustering, density, dirichlet, heads, intervals, layouts, neighbours, relational, runs, sequences, smoothing, surfaces, vectors
 from ..session import shared_place
 from ..sources import audio
@@ -734,6 +735,69 @@ def head_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heads.scored(v, "features", coef).select("vec_id", (F.col("vec_id") % 5 == 0).alias("held_out"), "label", numeric.head_class(F.col("logits")).alias("head_class"))
 
 
+# recordings: the events of a user as the samples of a WAV file
+
+
+def _wav(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files that ``audio.export`` has written of the events, found again by a scan."""
+    root = f"{shared_place(spark)}/wav-{uuid.uuid4().hex}"
+    frames = _frames(spark, sf_dir).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("i", ((F.col("value") % 100) / 100).cast("float").alias("s")))).alias("x"))
+    clips = frames.select(F.concat(F.lit("user"), F.col("user_id"), F.lit(".wav")).alias("filename"), F.lit(0).cast("bigint").alias("seg"), F.lit(8000).alias("sr"), F.col("x.s").alias("samples"))
+    audio.export(clips, root).write.format("noop").mode("overwrite").save()
+    return audio.files(spark, root)
+
+
+_PCM = f"{F_SQL}, s AS (SELECT 'user' || user_id || '_0.wav' AS filename, i, trunc(CAST((value % 100) / 100 AS FLOAT) * CAST(32767 AS FLOAT)) / 32768.0::DOUBLE AS x FROM f), n AS (SELECT filename, count(*) AS n FROM s GROUP BY 1)"
+
+
+@query(f"WITH {_PCM} SELECT filename, n AS num_frames, 8000 AS sr, n / 8000.0::DOUBLE AS duration FROM n")
+def recording_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.metadata(_wav(spark, sf_dir)).select("filename", "num_frames", "sr", "duration")
+
+
+@query(f"WITH {_PCM} SELECT filename, CAST(i AS INT) AS i, round(x, 6) AS x FROM s")
+def recording_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.recordings(_wav(spark, sf_dir)).select("filename", F.posexplode("samples").alias("i", "x")).withColumn("x", F.round(F.col("x").cast("double"), 6))
+
+
+@query(f"""WITH {_PCM}, c AS (SELECT filename, CAST(unnest(generate_series(0, (n - 16) // 8)) AS INT) AS clip FROM n WHERE n >= 16)
+SELECT c.filename, clip, clip * 8 / 8000.0::DOUBLE AS start, count(*) AS size, round(sum(x), 6) AS total FROM c JOIN s ON s.filename = c.filename AND i BETWEEN clip * 8 AND clip * 8 + 15 GROUP BY 1, 2""")
+def recording_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = audio.training_clips(audio.recordings(_wav(spark, sf_dir)), 16, 8)
+    return c.select("filename", "clip", "start", F.size("samples").cast("bigint").alias("size"), F.round(F.aggregate("samples", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
+@query(f"""WITH {_PCM}, k AS (SELECT filename, unnest(generate_series(0, n // 4)) AS k FROM n)
+SELECT k.filename, CAST(k AS INT) AS k, round(sqrt(coalesce(sum(x * x), 0) / 8), 6) AS rms FROM k LEFT JOIN s ON s.filename = k.filename AND i BETWEEN 4 * k - 4 AND 4 * k + 3 GROUP BY 1, 2""")
+def rms_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Root mean square of centred frames of 8 samples every 4."""
+    t = calls.tracked(audio.recordings(_wav(spark, sf_dir)), lambda x, _: dsp.rms(x, 8, 4))
+    return t.select("filename", F.posexplode("track").alias("k", "rms")).withColumn("rms", F.round("rms", 6))
+
+
+@query(f"""WITH {_PCM}, k AS (SELECT filename, unnest(generate_series(0, (n - 8) // 4)) AS k FROM n WHERE n >= 8), j AS (SELECT filename, k, b, (i - 4 * k) AS j, x * (0.5 - 0.5 * cos(2 * pi() * (i - 4 * k) / 8)) AS y FROM k JOIN s USING (filename), generate_series(0, 4) g(b) WHERE i BETWEEN 4 * k AND 4 * k + 7)
+SELECT filename, CAST(k AS INT) AS k, CAST(b AS INT) AS b, round(sqrt(pow(sum(y * cos(2 * pi() * b * j / 8)), 2) + pow(sum(y * sin(2 * pi() * b * j / 8)), 2)), 6) AS magnitude FROM j GROUP BY 1, 2, 3""")
+def spectrogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Magnitudes of Hann-windowed frames of 8 samples every 4."""
+    t = calls.tracked(audio.recordings(_wav(spark, sf_dir)), lambda x, _: dsp.stft(x, 8, 4, 8))
+    cells = t.select("filename", F.posexplode("track").alias("c", "m"))
+    return cells.select("filename", F.floor(F.col("c") / 5).cast("int").alias("k"), (F.col("c") % 5).alias("b"), F.round("m", 6).alias("magnitude"))
+
+
+@query(f"""WITH {_PCM}, m AS (SELECT filename, avg(x) AS m FROM s GROUP BY 1) SELECT filename, round(avg(pow(x - m, 2)), 9) AS m2, round(avg(pow(x - m, 3)), 9) AS m3, round(avg(pow(x - m, 4)), 9) AS m4 FROM s JOIN m USING (filename) GROUP BY 1""")
+def amplitude_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = calls.tracked(audio.recordings(_wav(spark, sf_dir)), lambda x, _: np.array(dsp.moments(x)))
+    return t.select("filename", *[F.round(F.get("track", k), 9).alias(f"m{k + 2}") for k in range(3)])
+
+
+@query("""SELECT user_id, round(epoch_us(ts) / 1e6, 6) AS onset, round(epoch_us(ts) / 1e6 + 600 * value, 6) AS "offset" FROM events""")
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Annotations written as CSV in fixed precision and in order, and read again."""
+    path = f"{shared_place(spark)}/csv-{uuid.uuid4().hex}"
+    audio.write_csv(_intervals(spark, sf_dir), path, digits=6, order=["user_id", "onset"])
+    return audio.read_csv(spark, path, "user_id bigint, onset double, offset double")
+
+
 # streams and table functions
 
 

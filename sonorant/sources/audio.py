@@ -158,7 +158,7 @@ def export(clips: DataFrame, root: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.fs
 
-        place, base = pyarrow.fs.FileSystem.from_uri(root if "://" in root else f"file://{root}")
+        place, base = pyarrow.fs.FileSystem.from_uri(root if "://" in root else f"file://{root.removeprefix('file:')}")
         place.create_dir(base, recursive=True)
         for batch in batches:
             done = []
