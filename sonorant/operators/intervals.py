@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -69,10 +71,11 @@ def assignment(r_on: np.ndarray, r_off: np.ndarray, s_on: np.ndarray, s_off: np.
     low, high = np.searchsorted(s_on, r_on - collar - 1e-9), np.searchsorted(s_on, r_on + collar + 1e-9, "right")
     fits = [[j for j in range(a, b) if abs(s_on[j] - r_on[i]) <= collar and abs(s_off[j] - r_off[i]) <= slack[i]] for i, (a, b) in enumerate(zip(low, high, strict=True))]
     owner: dict[int, int] = {}
+    held: dict[int, int] = {}
     for start in range(len(r_on)):
-        came, queue, end = {}, [start], None
+        came, queue, end = {}, deque([start]), None
         while queue and end is None:  # breadth first to a free system event
-            i = queue.pop(0)
+            i = queue.popleft()
             for j in fits[i]:
                 if j not in came:
                     came[j] = i
@@ -80,10 +83,10 @@ def assignment(r_on: np.ndarray, r_off: np.ndarray, s_on: np.ndarray, s_off: np.
                         end = j
                         break
                     queue.append(owner[j])
-        held = {i: j for j, i in owner.items() if end is not None}
         while end is not None:
             i = came[end]
-            before, owner[end] = held.get(i), i
+            before = held.get(i)
+            owner[end], held[i] = i, end
             end = before
     pairs = sorted((i, j) for j, i in owner.items())
     return [i for i, _ in pairs], [j for _, j in pairs]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,12 +28,14 @@ def argmax(a: Column) -> Column:
 
 
 def standardised(df: DataFrame, features: str) -> DataFrame:
-    """Population z-scores of each coordinate; a constant one is divided by 1. Moments take one aggregate pass."""
-    width = df.select(F.max(F.size(features))).first()[0] or 0
-    at = [F.get(F.col(features), i) for i in range(width)]
-    m = df.agg(F.array(*[F.avg(c) for c in at]).alias("_mean"), F.array(*[F.stddev_pop(c) for c in at]).alias("_std"))  # one row
-    z = F.transform(features, lambda x, i: (x - F.get("_mean", i)) / F.when(F.get("_std", i) > 0, F.get("_std", i)).otherwise(1.0))
-    return df.crossJoin(F.broadcast(m)).withColumn(features, z).drop("_mean", "_std")
+    """Population z-scores of each coordinate; a constant one is divided by 1. Moments take one pass, rows without features keep none."""
+    m = df.where(F.size(features) > 0).select(Summarizer.metrics("mean", "variance", "count").summary(array_to_vector(features)).alias("m")).first()
+    if m is None or not m["m"]["count"]:
+        return df
+    n, mean = m["m"]["count"], m["m"]["mean"].toArray()
+    std = np.sqrt(np.maximum(m["m"]["variance"].toArray(), 0) * (n - 1) / n)
+    means, scales = (F.array(*map(F.lit, v.tolist())) for v in (mean, np.where(std > 0, std, 1.0)))
+    return df.withColumn(features, F.transform(features, lambda x, i: (x - F.get(means, i)) / F.get(scales, i)))
 
 
 def centroids(df: DataFrame, label: str, features: str) -> DataFrame:
@@ -39,8 +44,8 @@ def centroids(df: DataFrame, label: str, features: str) -> DataFrame:
     return by_place.groupBy(label).agg(F.array_sort(F.collect_list(F.struct("_i", "_m"))).alias("_c")).select(label, F.transform("_c", lambda c: c["_m"]).alias("centroid"))
 
 
-#: Centroids that are broadcast at once; of more, one lot after another.
-MOST_CENTROIDS = 4096
+#: Centroids that are broadcast at once, and bytes of them; of more, one lot after another.
+MOST_CENTROIDS, MOST_BYTES = 4096, 16 << 20
 
 
 def similarities(df: DataFrame, cents: DataFrame, features: str, label: str) -> DataFrame:
@@ -48,7 +53,8 @@ def similarities(df: DataFrame, cents: DataFrame, features: str, label: str) ->
 
     A vector is normalised once. Centroids, a row for each label, are broadcast in lots of bounded size.
     """
-    lots = max(1, -(-cents.count() // MOST_CENTROIDS))
+    n, width = cents.agg(F.count("*"), F.max(F.size("centroid"))).first()
+    lots = max(1, -(-n // max(1, min(MOST_CENTROIDS, MOST_BYTES // (8 * max(width or 1, 1))))))
     c = cents.select(F.struct(F.col(label).alias("label"), l2_normalised(F.col("centroid")).alias("c")).alias("_s"), F.pmod(F.xxhash64(label), F.lit(lots)).alias("_lot"))
     out = df.withColumn("_x", l2_normalised(F.col(features))).withColumn("sims", F.array().cast(f"array<struct<label:{cents.schema[label].dataType.simpleString()},sim:double>>"))
     for lot in range(lots):
