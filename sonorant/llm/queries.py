@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, langid, line_dedup, packing, periodic_runs, quality, secret_scan, simhash, token_counts, turn_repair, url_filter, window_packing
+from . import bpe, fingerprints, langid, line_dedup, packing, periodic_runs, quality, secret_scan, simhash, sql, token_counts, turn_repair, url_filter, window_packing
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -154,4 +154,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op12_turns": op12_turns,
     "op13_packing": op13_packing,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op12_turns": sql.OP12}

@@ -26,6 +26,19 @@ def test_a_query_returns_a_row_for_each_row(spark, name):
     assert set(got) == set(ids) and (name in ("op9_packing", "op13_packing") or len(got) == len(set(ids) if name == "op12_turns" else ids))
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no fixtures")
+@pytest.mark.parametrize("name", sorted(Q.SQL))
+def test_equals_sql(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for table in ("documents", "conversations", "pages"):
+        con.sql(f"create view {table} as select * from '{SF}/{table}.parquet'")
+    got = Q.QUERIES[name](spark, SF)
+    want = con.sql(Q.SQL[name])
+    assert sorted(got.columns) == sorted(want.columns)
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall())
+
+
 @pytest.fixture(scope="module")
 def tables(spark, tmp_path_factory):
     """Documents with near copies, repeated lines, secrets, nulls, empties, repeated rows and clashing columns; labels for some."""
