@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Callable
 
@@ -27,6 +29,18 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_released = 0.0
+
+
+def _release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps: it does so only when the driver collects its garbage, which a driver with room may not do for hours."""
+    global _released
+    if time.monotonic() - _released > 5:
+        gc.collect()
+        spark._jvm.System.gc()
+        _released = time.monotonic()
+
+
 def stage(df: DataFrame, name: str, compression: str = "snappy") -> tuple[DataFrame, str]:
     """Write ``df`` as Parquet to the shared folder and read it again, which cuts its lineage.
 
@@ -36,6 +50,7 @@ def stage(df: DataFrame, name: str, compression: str = "snappy") -> tuple[DataFr
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sonorant-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
+    _release(spark)
     return spark.read.schema(df.schema).parquet(path), path
 
 

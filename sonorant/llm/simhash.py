@@ -316,8 +316,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 #: Fingerprints of distinct words within this many bits and of shingles within that many make the first candidates.
 WORD_RADIUS, SHINGLE_RADIUS = 8, 20
-#: Shingles whose sets one side of a unit of verification holds, about (8 bytes each).
-LOT = 4_000_000
+#: Bytes that one side of a unit of verification holds, and pairs of a unit, about.
+LOT, PAIRS = 32 << 20, 500_000
 #: Classes of shingles whose parities bound how many two texts do not share.
 ODD = 512
 
@@ -368,7 +368,9 @@ def text_fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int, s
 def _similar(pairs: DataFrame, docs: DataFrame, prints: DataFrame, text_col: str, width: int, similarity: float) -> DataFrame:
     """Of ``pairs(a, b)`` of nodes those whose shingle sets have a Jaccard similarity of ``similarity`` or more.
 
-    A text is found by its hash, once for each node, whatever ids it stands under.
+    A text is found by its hash, once for each node, whatever ids it stands under. Pairs are first held against maps of
+    the parities of as many classes as the set needs, a sixteenth of its size, which reject no similar pair; sets travel
+    only for the pairs that are left.
     """
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     owners = maybe_in(prints.select("node", "h"), nodes, "node").join(nodes, "node").groupBy("node").agg(F.min("h").alias("h"))
@@ -377,35 +379,64 @@ def _similar(pairs: DataFrame, docs: DataFrame, prints: DataFrame, text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(np.array(shingle_hashes(text, width), np.uint64)).view(np.int64) for text in texts(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "s"])
+            sets = [np.unique(np.array(shingle_hashes(text, width), np.uint64)) for text in texts(batch.column(1))]
+            columns = [pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([parity_map(x).tobytes() for x in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["node", "s", "m"])
 
-    sets, sets_path = stage(found.join(owners, "h").select("node", "text").mapInArrow(run, "node bigint, s array<bigint>"), "shingles")
+    sets, sets_path = stage(found.join(owners, "h").select("node", "text").mapInArrow(run, "node bigint, s binary, m binary"), "shingles")
     drop(docs.sparkSession, path)
-    # nodes are dealt into lots; a unit of work holds the sets of two lots and the pairs between them
-    total = sets.agg(F.sum(F.size("s"))).first()[0] or 0
-    lots = max(1, -(-total // LOT))
+
+    def may_be(x: bytes, y: bytes) -> bool:
+        one, two = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        total, one, two = int(one[0]) + int(two[0]), one[1:], two[1:]
+        while len(one) != len(two):  # classes of the larger map fall together in pairs
+            one, two = (one, two) if len(one) > len(two) else (two, one)
+            one = one[: len(one) // 2] ^ one[len(one) // 2 :]
+        return int(np.bitwise_count(one ^ two).sum()) <= int((1 - similarity) / (1 + similarity) * total + 1e-9)
+
+    def is_one(x: bytes, y: bytes) -> bool:
+        one, two = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        shared = len(np.intersect1d(one, two, assume_unique=True))
+        return shared >= similarity * (len(one) + len(two) - shared)
+
+    likely, likely_path = stage(_checked(pairs, sets.select("node", F.col("m").alias("data")), may_be), "likely")
+    ends = likely.select(F.col("a").alias("node")).unionByName(likely.select(F.col("b").alias("node"))).distinct()
+    links, _ = stage(_checked(likely, sets.select("node", F.col("s").alias("data")).join(ends, "node", "left_semi"), is_one), "links")
+    drop(docs.sparkSession, sets_path, likely_path)
+    return links
+
+
+def parity_map(hashes: np.ndarray) -> np.ndarray:
+    """How many hashes there are, then a bit for each class of them (a power of two of classes, four for a hash or more): whether it holds an odd number."""
+    classes = max(64, 1 << (4 * len(hashes) - 1).bit_length()) if len(hashes) else 64
+    odd = np.bincount((hashes & np.uint64(classes - 1)).astype(np.int64), minlength=classes) & 1
+    return np.concatenate([np.array([len(hashes)], np.uint64), np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)])
+
+
+def _checked(pairs: DataFrame, known: DataFrame, fits: Callable[[bytes, bytes], bool]) -> DataFrame:
+    """Of ``pairs(a, b)`` those whose ``known(node, data)`` fit.
+
+    Nodes are dealt into lots of about ``LOT`` bytes; a unit of work holds the data of two lots and at most about
+    ``PAIRS`` pairs between them. There are as many units as shuffle partitions at least.
+    """
+    spark = pairs.sparkSession
+    total, count = known.agg(F.sum(F.octet_length("data"))).first()[0] or 0, pairs.count()
+    lots = max(-(-total // LOT), ceil((2 * int(spark.conf.get("spark.sql.shuffle.partitions"))) ** 0.5))
+    parts = max(1, -(-2 * count // (lots * (lots + 1) * PAIRS)))
     lot = lambda c: F.pmod(F.xxhash64(c), F.lit(lots))
-    dealt = pairs.select("a", "b", (F.least(lot("a"), lot("b")) * lots + F.greatest(lot("a"), lot("b"))).alias("unit"))
+    unit = (F.least(lot("a"), lot("b")) * lots + F.greatest(lot("a"), lot("b"))) * parts + F.pmod(F.xxhash64("a", "b"), F.lit(parts))
+    dealt = pairs.select("a", "b", unit.alias("unit"))
     asked = dealt.select(F.col("a").alias("node"), F.col("unit").alias("u")).unionByName(dealt.select(F.col("b").alias("node"), F.col("unit").alias("u"))).distinct()
 
     def check(left: pa.Table, right: pa.Table) -> pa.Table:
-        known = dict(zip(right["node"].to_pylist(), right["s"].combine_chunks(), strict=True))
-        a, b, keep = left["a"].to_pylist(), left["b"].to_pylist(), []
-        known = {k: v.values.to_numpy() for k, v in known.items()}
-        for x, y in zip(a, b, strict=True):
-            one, two = known.get(x), known.get(y)
-            ok = one is not None and two is not None
-            if ok:
-                shared = len(np.intersect1d(one, two, assume_unique=True))
-                ok = shared >= similarity * (len(one) + len(two) - shared)
-            keep.append(ok)
+        data = dict(zip(right["node"].to_pylist(), right["data"].combine_chunks(), strict=True))
+        keep = []
+        for x, y in zip(left["a"].to_pylist(), left["b"].to_pylist(), strict=True):
+            one, two = data.get(x), data.get(y)
+            keep.append(one is not None and two is not None and fits(one.as_buffer(), two.as_buffer()))
         return left.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    units = dealt.groupBy("unit").cogroup(sets.join(asked, "node").select("node", "s", "u").groupBy("u"))
-    links, _ = stage(units.applyInArrow(check, "a bigint, b bigint"), "links")
-    drop(docs.sparkSession, sets_path)
-    return links
+    return dealt.groupBy("unit").cogroup(known.join(asked, "node").select("node", "data", "u").groupBy("u")).applyInArrow(check, "a bigint, b bigint")
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -162,3 +162,29 @@ def test_repeated_rows_and_empty_tables_of_fingerprints(docs_of):
     got = sorted((r["id"] or -1, r["component_id"]) for r in S.near_duplicates(df).collect())
     assert got == [(-1, 2), (2, 2), (3, 2), (7, 7), (7, 7)]
     assert S.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_parity_maps_never_reject_and_units_may_be_small(spark, docs_of, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = []
+    for n in (1, 30, 300, 2500):
+        one = rng.integers(0, 2**63, n).astype(np.uint64)
+        two = np.unique(np.concatenate([one[: max(1, int(n * 0.9))], rng.integers(0, 2**63, n // 10).astype(np.uint64)]))
+        other = np.unique(rng.integers(0, 2**63, n + 5).astype(np.uint64))
+        for a, b in ((one, two), (one, other)):
+            x, y = S.parity_map(np.unique(a))[1:], S.parity_map(np.unique(b))[1:]
+            while len(x) != len(y):
+                x, y = (x, y) if len(x) > len(y) else (y, x)
+                x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+            rows.append((np.bitwise_count(x ^ y).sum(), len(np.setxor1d(a, b))))
+    assert all(bound <= apart for bound, apart in rows) and rows[-1][0] > 0.5 * rows[-1][1]
+    words = [f"w{k}" for k in range(4000)]
+    texts = []
+    for k in range(12):
+        base = list(rng.choice(words, 60 + 40 * k))
+        texts += [" ".join(base), " ".join([*base[:-2], "other", "end"]), " ".join(base[::-1])]
+    docs = docs_of(texts)
+    want = sorted(r["doc_id"] for r in S.first_of_groups(docs).collect())
+    monkeypatch.setattr(S, "LOT", 3000)
+    monkeypatch.setattr(S, "PAIRS", 2)
+    assert sorted(r["doc_id"] for r in S.first_of_groups(docs).collect()) == want and len(want) == 24
