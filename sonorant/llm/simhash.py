@@ -468,7 +468,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     comps = connected_components(verified(first))
     blocks = prints.groupBy("node").agg(F.first("size").alias("size"), F.first("low").alias("low"))
     blocks = blocks.select(F.col("node").alias("key"), "size", F.lit(1).alias("need"), F.explode("low").alias("v"))
-    met, met_path = stage(meeting(blocks), "met")
+    met, met_path = stage(meeting(blocks, similarity), "met")
 
     def fits(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
         differing = sum((F.bit_count(F.get(a("odd"), F.lit(i)).bitwiseXOR(F.get(b("odd"), F.lit(i)))) for i in range(1, ODD // 64)), F.bit_count(F.get(a("odd"), F.lit(0)).bitwiseXOR(F.get(b("odd"), F.lit(0)))))
