@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .neighbours import together
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
@@ -102,16 +105,72 @@ def masked_bce(logits: Column, targets: Column, weight: Column) -> Column:
     return weight * F.try_divide(F.aggregate(known, F.lit(0.0), lambda s, v: s + v), F.size(known))
 
 
+#: Rows of a piece of a batch, about, of which two meet in a task, and rows that are held against a piece at once.
+PIECE, TILE = 8192, 256
+
+
 def contrastive_loss(df: DataFrame, batch: str, key: str, label: str, features: str, temperature: float = 0.1) -> DataFrame:
     """``(batch, loss)``: supervised contrastive loss within each batch, over unit vectors; with two views for each label it is NT-Xent.
 
-    Rows without a partner of their label count nothing. A batch is bounded by its definition; only batches meet, never the table.
+    Rows without a partner of their label count nothing. Only rows of a batch meet: large batches are dealt into
+    pieces, and each two pieces are one matrix product.
     """
-    unit = df.select(F.col(batch).alias("b"), F.col(key).alias("k"), F.col(label).alias("l"), l2_normalised(F.col(features)).alias("x"))
-    a, b = unit, unit.select("b", F.col("k").alias("k2"), F.col("l").alias("l2"), F.col("x").alias("y"))
-    pairs = a.join(b, "b").where("k <> k2").withColumn("s", dot(F.col("x"), F.col("y")) / temperature)
-    row = pairs.groupBy("b", "k").agg(F.log(F.sum(F.exp("s"))).alias("all"), F.avg(F.when(F.col("l") == F.col("l2"), F.col("s"))).alias("own"))
-    return row.where("own IS NOT NULL").groupBy(F.col("b").alias(batch)).agg(F.avg(F.col("all") - F.col("own")).alias("loss"))
+    rows = df.select(F.col(batch).alias("b"), F.col(key).alias("k"), F.col(label).alias("l"), F.col(features).cast("array<double>").alias("x"))
+    rows = rows.where(F.col("b").isNotNull() & F.col("k").isNotNull() & F.col("x").isNotNull() & ~F.exists("x", lambda v: v.isNull())).withColumn("w", F.size("x"))
+    sizes = rows.groupBy("b", "w").agg(F.ceil(F.count("*") / PIECE).cast("int").alias("pieces"))
+    dealt = rows.join(sizes, ["b", "w"]).withColumn("own", F.pmod(F.xxhash64("k"), F.col("pieces")).cast("int"))
+    left = dealt.withColumn("i", F.col("own")).withColumn("j", F.explode(F.sequence(F.col("own"), F.col("pieces") - 1))).drop("own", "pieces")
+    right = dealt.withColumn("j", F.col("own")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("own")))).drop("own", "pieces")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+
+    def unit(x: np.ndarray) -> np.ndarray:
+        return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-8)
+
+    def met(a: pa.Table, c: pa.Table) -> pa.Table:
+        none = {"b": a["b"].slice(0, 0), "k": a["k"].slice(0, 0), "e": pa.array([], pa.float64()), "o": pa.array([], pa.float64()), "n": pa.array([], pa.int64())}
+        if not len(a) or not len(c):
+            return pa.table(none)
+        same = a["i"][0].as_py() == a["j"][0].as_py()
+        codes = lambda name: np.split(_codes(pa.chunked_array([*a[name].chunks, *c[name].chunks])), [len(a)])
+        (k1, k2), (l1, l2) = codes("k"), codes("l")
+        width = a["w"][0].as_py()
+        x, y = (unit(t["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(t), width)) for t in (a, c))
+        own1, n1 = _label_sums(x, l1, y, l2)
+        own2, n2 = _label_sums(y, l2, x, l1)
+        e1, e2 = np.zeros(len(x)), np.zeros(len(y))
+        for at in range(0, len(x), TILE):
+            s = x[at : at + TILE] @ y.T
+            e = np.exp(s / temperature)
+            if same:  # the only place where a key meets itself
+                p, q = np.nonzero(k1[at : at + TILE, None] == k2[None])
+                e[p, q] = 0
+                mine = (l1[at + p] == l2[q]) & (l2[q] >= 0)
+                np.subtract.at(own1, at + p[mine], s[p[mine], q[mine]])
+                np.subtract.at(n1, at + p[mine], 1)
+            e1[at : at + TILE] = e.sum(axis=1)
+            if not same:
+                e2 += e.sum(axis=0)
+        sides = [(a, e1, own1, n1)] if same else [(a, e1, own1, n1), (c, e2, own2, n2)]
+        return pa.concat_tables([pa.table({"b": t["b"], "k": t["k"], "e": e, "o": o / temperature, "n": n}) for t, e, o, n in sides])
+
+    pairs = together(left, right, ("b", "w", "i", "j"), met, f"b {kinds['b']}, k {kinds['k']}, e double, o double, n bigint")
+    row = pairs.groupBy("b", "k").agg(F.log(F.sum("e")).alias("all"), F.try_divide(F.sum("o"), F.sum("n")).alias("own"), F.sum("n").alias("n"))
+    return row.where("n > 0").groupBy(F.col("b").alias(batch)).agg(F.avg(F.col("all") - F.col("own")).alias("loss"))
+
+
+def _codes(values: pa.ChunkedArray) -> np.ndarray:
+    """A number for each value, equal where values are, -1 for null."""
+    return values.combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+
+
+def _label_sums(x: np.ndarray, own: np.ndarray, y: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of ``x`` the sum of its products with the rows of ``y`` that have its label, and their number."""
+    names, place = np.unique(others, return_inverse=True)
+    total, count = np.zeros((len(names), y.shape[1])), np.bincount(place, minlength=len(names))
+    np.add.at(total, place, y)
+    at = np.minimum(np.searchsorted(names, own), len(names) - 1)
+    there = (names[at] == own) & (own >= 0)
+    return np.where(there, (x * total[at]).sum(axis=1), 0.0), np.where(there, count[at], 0).astype(np.int64)
 
 
 def windows(features: Column, size: int, hop: int, tail: str = "drop", pad: float = 0.0) -> Column:

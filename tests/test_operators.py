@@ -276,3 +276,28 @@ def test_silhouette_deals_out_no_rows_and_counts_rows_of_a_key_as_one(spark, mon
     assert abs(got.first()[0] - np.mean(values)) < 1e-9
     assert clustering.silhouette(df.where("label = 'a'"), "id", "features", "label").first()[0] is None
     assert clustering.silhouette(df.limit(0), "id", "features", "label").first()[0] is None
+
+
+def test_contrastive_loss_meets_in_pieces(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x, label = rng.normal(size=(50, 5)), rng.integers(0, 4, 50).tolist()
+    x[7], label[9] = 0, None
+    keys = [*range(48), 3, None]  # a key twice, and one that is missing
+    df = spark.createDataFrame([(i % 2, k, v.tolist(), c) for i, (k, v, c) in enumerate(zip(keys, x, label, strict=True))], "b int, k int, f array<double>, l int")
+    monkeypatch.setattr(vectors, "PIECE", 4)
+    monkeypatch.setattr(vectors, "TILE", 3)
+    got = {r["b"]: r["loss"] for r in vectors.contrastive_loss(df, "b", "k", "l", "f").collect()}
+    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-8)
+    for b in (0, 1):
+        rows, sums = [i for i in range(49) if i % 2 == b], {}
+        for i in rows:
+            e, own = sums.setdefault(keys[i], ([], []))
+            for j in rows:
+                if keys[i] != keys[j]:
+                    s = unit[i] @ unit[j] / 0.1
+                    e.append(np.exp(s))
+                    if label[i] is not None and label[i] == label[j]:
+                        own.append(s)
+        assert abs(got[b] - np.mean([np.log(sum(e)) - np.mean(o) for e, o in sums.values() if o])) < 1e-9
+    plan = vectors.contrastive_loss(df, "b", "k", "l", "f")._jdf.queryExecution().toString()
+    assert "FlatMapCoGroupsInArrow" in plan  # before: every pair of rows was a row of a join
